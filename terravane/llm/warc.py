@@ -199,9 +199,9 @@ def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex from pages),
 f as (select page_id, body, hex, min(page_id) over (partition by body) as first from p),
-b as (select *, list_aggregate(list_transform(range(40), i -> right(bin(('0x' || substr(hex, i + 1, 1))::int + 16), 4)), 'string_agg', '') as bits from f)
+b as (select *, list_aggregate(list_transform(range(40), lambda i: right(bin(('0x' || substr(hex, i + 1, 1))::int + 16), 4)), 'string_agg', '') as bits from f)
 select page_id, strlen(body)::bigint as payload_bytes,
-       list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_aggregate(list_transform(range(5), j -> substr(bits, i * 5 + j + 1, 1)::int << (4 - j)::int), 'sum')::int + 1, 1)), 'string_agg', '') as payload_digest,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_aggregate(list_transform(range(5), lambda j: substr(bits, i * 5 + j + 1, 1)::int << (4 - j)::int), 'sum')::int + 1, 1)), 'string_agg', '') as payload_digest,
        case when first = page_id then 'response' else 'revisit' end as record_type,
        case when first < page_id then first end as refers_to
 from b
