@@ -61,6 +61,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """Digests of texts, a few bytes a row, dealt out anew: few files of many rows instead of one for every task that read texts."""
+    return df.repartition(F.col("doc_id"))
+
+
 def crc32_of(column) -> F.Column:
     """Unsigned CRC-32 of a value's text."""
     return F.crc32(column.cast("string").cast("binary"))

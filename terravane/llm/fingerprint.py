@@ -17,7 +17,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, compact
 from .dac import _bucket
 
 WIDTH = 5
@@ -133,7 +133,7 @@ def op2_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query, and near_count: for documents whose id is divisible by 20, how many rows of other
     fingerprint are within 3 bits, from the block tables (others: null)."""
     work = Workspace(spark, "fingerprints")
-    marked = work.table(edited_fingerprints(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")), "marked")
+    marked = work.table(compact(edited_fingerprints(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))), "marked")
     every = work.table(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "different")
     queries = marked.where(F.col("doc_id") % 20 == 0).select(F.col("fp").alias("q")).distinct()
     pairs = near_fingerprints(queries, every.select("fp"))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, compact
 
 MIN_WORDS = 50
 WORD = r"[^\s]+"
@@ -110,7 +110,8 @@ def delete_repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
     gone = repeated_lines(spark, docs, min_words)
     marked = docs.withColumn("__th", F.xxhash64("text"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"), F.col("gone").alias("__gone"))
-    joined = marked.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
+    # a row a document at most, far smaller than the texts beside it: hashed, so that texts aren't sorted
+    joined = marked.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
     every = F.split("text", "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(every, lambda x: x.rlike(r"\S"))))
     kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("__gone", i)), "\n")
@@ -123,7 +124,8 @@ def op9_line_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines, how many were deleted, and the SHA-256 of what stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = delete_repeats(spark, docs)
-    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_deleted").cast("long").alias("n_deleted"), F.sha2("text", 256).alias("kept_sha256"))
+    out = out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_deleted").cast("long").alias("n_deleted"), F.sha2("text", 256).alias("kept_sha256"))
+    return compact(out)
 
 
 #: The same in SQL, by brute force: all tight runs as text, grouped.
