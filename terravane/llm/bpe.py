@@ -110,47 +110,39 @@ class Transducer:
         self.v, self.most = vocabulary, most_pairs
         self.fits: dict[int, bool] = {}
         self.length = {t: len(b) for t, b in vocabulary.bytes.items()}
-        self.reach: dict[bytes, int] = {}  # by the first five bytes: the longest token
-        self.shorter: dict[int, int] = {}  # a token's longest proper prefix that is a token
-        of = vocabulary.of
-        for b, t in of.items():
-            self.reach[b[:5]] = max(self.reach.get(b[:5], 4), len(b))
-            self.shorter[t] = next((of[b[:i]] for i in range(len(b) - 1, 0, -1) if b[:i] in of), -1)
-
-    def _match(self, data: bytes, at: int) -> int:
-        """The longest token at a place."""
-        of = self.v.of
-        for n in range(self.reach.get(data[at : at + 5], 4), 1, -1):
-            if (t := of.get(data[at : at + n])) is not None:
-                return t
-        return of[data[at : at + 1]]
+        lengths: dict[bytes, set[int]] = {}
+        for b in vocabulary.of:
+            if len(b) > 4:
+                lengths.setdefault(b[:5], set()).add(len(b))
+        self.short = (4, 3, 2, 1)
+        self.reach = {b: (*sorted(n, reverse=True), *self.short) for b, n in lengths.items()}  # by the first five bytes: tokens' lengths
 
     def window(self, data: bytes, before: int = -1) -> list[int]:
         """The tokens of data after the stable token ``before`` (-1: none)."""
-        length, shorter, fits, size = self.length, self.shorter, self.fits, len(data)
-        out, at, last, dead = [], 0, before, set()
-        t = self._match(data, 0)
-        while True:
-            end = at + length[t]
-            ok = end not in dead
-            if ok and last >= 0:
-                if (ok := fits.get(key := last << 24 | t)) is None:
+        of, reach, short, fits, size = self.v.of.get, self.reach.get, self.short, self.fits, len(data)
+        known = fits.get
+        out, at, last, dead = [], 0, before, None
+        while at < size:
+            for n in reach(data[at : at + 5], short):
+                if (t := of(data[at : at + n])) is None or dead and at + n in dead:
+                    continue
+                if last < 0:
+                    break
+                if (ok := known(last << 24 | t)) is None:
                     if len(fits) >= self.most:
                         fits.clear()
-                    ok = fits[key] = self.v.neighbours(last, t)
-            if ok:
-                out.append(t)
-                if end == size:
-                    return out
-                at, last = end, t
-                t = self._match(data, at)
-            elif (s := shorter[t]) >= 0:
-                t = s
-            else:  # nothing fits here: a step back
+                    ok = fits[last << 24 | t] = self.v.neighbours(last, t)
+                if ok:
+                    break
+            else:  # nothing fits here: a step back, not to come here again
+                dead = dead or set()
                 dead.add(at)
-                t = out.pop()
-                at -= length[t]
+                at -= self.length[out.pop()]
                 last = out[-1] if out else before
+                continue
+            out.append(t)
+            at, last = at + self.length[t], t
+        return out
 
     def encode(self, data: bytes) -> list[int]:
         return list(self.stream([data]))
@@ -184,51 +176,44 @@ class Encoder:
     through the transducer.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most_pieces: int = 250_000, longest_piece: int = 64):
+    def __init__(self, vocabulary: Vocabulary, most_pieces: int = 500_000, longest_piece: int = 64):
         self.v, self.machine = vocabulary, Transducer(vocabulary)
         self.split = regex.compile(PATTERN).findall
         self.odd = regex.compile(r"\s \s|\s \Z").search
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocabulary.added, key=len, reverse=True)) + ")").split if vocabulary.added else None
         self.longest = longest_piece
-        self.pieces, self.words = _Table(self._piece, most_pieces), _Table(self._word, most_pieces)
+        self.pieces, self.words = _Table(self._piece, most_pieces, longest_piece), _Table(self._word, most_pieces // 4, longest_piece)
         self.by_library = ByteLevel(add_prefix_space=False).pre_tokenize_str
-        self.shared = {i: i for i in vocabulary.decoded}  # one integer object an id
 
     def _word(self, word: str) -> tuple[int, ...]:
         data = word.encode()
         if (t := self.v.of.get(data)) is not None and len(data) == 1:
             return (t,)
-        return tuple(map(self.shared.__getitem__, self.machine.window(data) if len(data) <= self.longest * 4 else self.machine.encode(data)))
+        return tuple(self.machine.window(data) if len(data) <= self.longest * 4 else self.machine.encode(data))
 
     def _words(self, text: str):
-        words, longest = self.words, self.longest
+        words = self.words
         if text.isascii() or max(text) <= "\u02ff":
             split = self.split(text)
         else:  # which characters are letters is up to the library's Unicode version
             split = (text[a:b] for _, (a, b) in self.by_library(text))
-        return (words[w] if len(w) <= longest else self._word(w) for w in split)
+        return map(words.__getitem__, split)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         if len(piece) <= self.longest and (piece.isascii() or max(piece) <= "\u02ff"):
-            if piece[1:].isalpha() and piece[0] == " ":  # one pre-token
-                return self.words[piece]
-            if piece[1:-1].isalpha() and piece[0] == " " and piece[-1] in ",.;:!?\n":  # two
-                return self.words[piece[:-1]] + self.words[piece[-1]]
+            if piece[0] == " ":
+                if piece[1:].isalpha():  # one pre-token
+                    return self._word(piece)
+                if piece[1:-1].isalpha() and piece[-1] in ",.;:!?":  # two
+                    return self.pieces[piece[:-1]] + self.words[piece[-1]]
         return tuple(chain.from_iterable(self._words(piece)))
 
     def _plain(self, text: str) -> list[int]:
         if self.odd(text):
             return list(chain.from_iterable(self._words(text)))
         first, *rest = text.split(" ")
-        out = list(self._piece(first))
-        pieces, longest = self.pieces, self.longest
-        if not rest:
-            return out
-        rest = [" " + x for x in rest]
-        if max(map(len, rest)) <= longest:
-            out.extend(chain.from_iterable(map(pieces.__getitem__, rest)))
-        else:
-            out.extend(chain.from_iterable(pieces[p] if len(p) <= longest else self._piece(p) for p in rest))
+        out = list(self._piece(first)) if first else []
+        out.extend(chain.from_iterable(map(self.pieces.__getitem__, [" " + x for x in rest])))
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -245,15 +230,17 @@ class Encoder:
 
 
 class _Table(dict):
-    """Remembers what ``make`` gives. When full, its entries become the old ones, which stay while they are used."""
+    """Remembers what ``make`` gives for keys that aren't long. When full, its entries become the old ones, which stay while they are used."""
 
-    def __init__(self, make, most: int):
-        self.make, self.most, self.old = make, most, {}
+    def __init__(self, make, most: int, longest: int):
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key):
         out = self.old.get(key)
         if out is None:
             out = self.make(key)
+            if len(key) > self.longest:
+                return out
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
