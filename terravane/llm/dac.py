@@ -14,6 +14,7 @@ table, one binary value each, which Spark commits as a whole: a lost executor's
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 
@@ -117,12 +118,12 @@ class LibraryEncoder:
     """The tokenizers library, asked once for each piece of text that it splits off anyway.
 
     A blank after a non-blank always begins a new pre-token, so texts are cut there and the pieces' ids
-    remembered in a bounded table. New pieces of a batch are encoded together in one call; the bytes of
-    each token tell where one piece's ids end. Texts with other blank runs at a cut go to the library whole.
+    remembered, by the piece without its blank. When the table is full, its entries become the old ones,
+    which stay while they are used. New pieces of a batch are encoded together in one call; the bytes of
+    each token tell where one piece's ids end. Texts with blank runs at a cut go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        import regex
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         from .bpe import Vocabulary
@@ -136,55 +137,52 @@ class LibraryEncoder:
         self.size = np.zeros(max(vocabulary.decoded) + 1, np.int64)
         for i, b in vocabulary.decoded.items():
             self.size[i] = len(b)
-        self.odd = regex.compile(r"\s \s|\s \Z|\A \s").search
-        self.known: dict[str, np.ndarray] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
-        for at in range(0, len(pieces), 20_000):
-            part = pieces[at : at + 20_000]
-            ids = np.array(self.library.encode("".join(part), add_special_tokens=False).ids, np.uint16 if len(self.size) <= 1 << 16 else np.uint32)
-            ends = np.cumsum(np.fromiter((len(p.encode()) for p in part), np.int64, len(part)))
-            stop = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
+        self.width = 2 if len(self.size) <= 1 << 16 else 4
+        self.odd = re.compile(r" (?:\s|\Z)").search
+        self.marks = dict(zip(",.", self._ask([",", "."])))
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ask(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        old, known, width = self.old, self.known, self.width
+        for p in [p for p in new if p in old]:
+            known[p] = old[p]
+        # one that ends in white space mustn't stand before another blank
+        apart = [p for p in new if p not in known and (not p or p[-1].isspace())]
+        known.update(zip(apart, self._ask([" " + p for p in apart])))
+        # a comma or full stop after a letter is a pre-token of its own
+        ends_so = [p for p in new if p not in known and p[-1] in ",." and p[-2:-1].isalpha()]
+        whole = {p for p in new if p not in known}.difference(ends_so)
+        whole.update(p[:-1] for p in ends_so if p[:-1] not in known)
+        joint = list(whole)
+        for at in range(0, len(joint), 20_000):
+            part = joint[at : at + 20_000]
+            raw = self._ask([" " + " ".join(part)])[0]
+            ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in part), np.int64, len(part)))
+            stop = (np.searchsorted(np.cumsum(self.size[np.frombuffer(raw, f"<u{width}")]), ends) + 1) * width
             a = 0
             for p, b in zip(part, stop.tolist()):
-                self.known[p] = ids[a:b].tobytes()
+                known[p] = raw[a:b]
                 a = b
-        self.kind = ids.dtype
+        known.update([(p, known[p[:-1]] + self.marks[p[-1]]) for p in ends_so])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian numbers of ``width`` bytes."""
-        plain: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        for text in texts:
-            if not text or self.odd(text) or any(s in text for s in self.added):
-                plain.append(None)
-                continue
-            pieces = text.split(" ")
-            pieces[1:] = [" " + p for p in pieces[1:]]
-            if not pieces[0]:
-                del pieces[0]
-            plain.append(pieces)
-            new.update(dict.fromkeys(p for p in pieces if p not in self.known))
-        # a first piece without a blank must not follow another in the joint text
-        heads = [p for p in new if p[0] != " " or p[-1].isspace()]
-        for p in heads:
-            del new[p]
+        plain = [None if not t or self.odd(t) or any(s in t for s in self.added) else t.split(" ") for t in texts]
+        heads = self._ask([p[0] if p else t for p, t in zip(plain, texts)])
         if len(self.known) > self.most:
-            self.known.clear()
-            for pieces in plain:
-                new.update(dict.fromkeys(pieces or ()))
-            heads = list(dict.fromkeys([*heads, *(p for p in new if p[0] != " " or p[-1].isspace())]))
-            for p in heads:
-                new.pop(p, None)
-        if new:
+            self.old, self.known = self.known, {}
+        new: set[str] = set()
+        for p in plain:
+            if p:
+                new.update(p[1:])
+        if new := new.difference(self.known):
             self._learn(list(new))
-        kind = "<u2" if len(self.size) <= 1 << 16 else "<u4"
-        for p, e in zip(heads, self.library.encode_batch(heads, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, kind).tobytes()
-        known = self.known
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids if t else [], kind).tobytes() if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, plain)]
+        known = self.known.__getitem__
+        return [h if p is None else h + b"".join(map(known, p[1:])) for h, p in zip(heads, plain)]
 
 
 _LIBRARY: dict[str, LibraryEncoder] = {}
@@ -223,7 +221,7 @@ def write_shards(docs: DataFrame, work: Workspace, path: str | None = None, docs
 
     def encode(batches):
         own = _library(file or tokenizer_path())
-        end = np.array([END_ID], "<u2" if len(own.size) <= 1 << 16 else "<u4").tobytes()
+        end = np.array([END_ID], f"<u{own.width}").tobytes()
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
@@ -239,7 +237,7 @@ def write_shards(docs: DataFrame, work: Workspace, path: str | None = None, docs
             data = pack(doc_ids, counts, flat)
             return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([data], pa.binary())], ["shard", "n_ids", "data"])
 
-        width, doc_ids, ids = 2 if len(_library(file or tokenizer_path()).size) <= 1 << 16 else 4, [], []
+        width, doc_ids, ids = _library(file or tokenizer_path()).width, [], []
         for b in batches:
             for s, d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if s != own and ids:
