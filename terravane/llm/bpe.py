@@ -176,7 +176,7 @@ class Encoder:
     through the transducer.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most_pieces: int = 500_000, longest_piece: int = 64):
+    def __init__(self, vocabulary: Vocabulary, most_pieces: int = 300_000, longest_piece: int = 64):
         self.v, self.machine = vocabulary, Transducer(vocabulary)
         self.split = regex.compile(PATTERN).findall
         self.odd = regex.compile(r"\s \s|\s \Z").search

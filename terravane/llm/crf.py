@@ -1,7 +1,6 @@
 """Language ID by a linear-chain conditional random field over words.
 
-A word's features are its prefixes and suffixes of 1 to 3 letters, its character n-grams of 2 to 4 with word
-ends, and lexicon entries (languages that most uses of the word in the training sample have); all but the
+A word's features are its prefixes and suffixes of 1 to 3 bytes, its n-grams of 2 to 4 bytes, and lexicon entries (languages that most uses of the word in the training sample have); all but the
 lexicon are hashed. Emission weights of the features, transitions between the languages of neighbouring
 words, and start weights are learned together by gradient ascent on the conditional log-likelihood. Chains are
 lines. Posteriors by forward-backward label every word, so texts that switch language are told word by word;
@@ -26,16 +25,26 @@ NONE = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def features(word: str) -> list[int]:
-    """Hashed affix and n-gram features of a word (long words: of their first and last 12 letters)."""
-    w = word.lower()
-    if len(w) > 24:
-        w = w[:12] + w[-12:]
-    out = [f"p{w[:n]}" for n in (1, 2, 3)] + [f"s{w[-n:]}" for n in (1, 2, 3)]
-    w = f"^{w}$"
-    out += [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
-    mask = (1 << BITS) - 1
-    return [zlib.crc32(x.encode()) & mask for x in out]
+START, STOP = "\x02", "\x03"
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word number) of all byte n-grams, n from 2 to 4, of the lower-cased words with start and stop marks.
+
+    Those with a mark are the words' prefixes and suffixes of 1 to 3 bytes. All words are hashed at once.
+    """
+    joined = START + (STOP + START).join(words) + STOP
+    if joined.count(START) != len(words) or joined.count(STOP) != len(words):
+        joined = START + (STOP + START).join(w.replace(START, " ").replace(STOP, " ") for w in words) + STOP
+    text = np.frombuffer(joined.lower().encode(), np.uint8).astype(np.uint32)
+    owner = np.cumsum(text == ord(START)) - 1
+    h, buckets, owners = text, [], []
+    for n in (2, 3, 4):
+        h = h[:-1] * np.uint32(0x01000193) + text[n - 1 :]
+        inside = owner[: len(h)] == owner[n - 1 :]
+        buckets.append(((h[inside] + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(32 - BITS))
+        owners.append(owner[: len(h)][inside])
+    return np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
 
 
 class Model:
@@ -44,10 +53,17 @@ class Model:
     def __init__(self, languages: list[str], weights: np.ndarray, lexicon: dict[str, int], lexicon_weights: np.ndarray, moves: np.ndarray, start: np.ndarray):
         self.languages, self.weights, self.lexicon, self.lexicon_weights, self.moves, self.start = languages, weights, lexicon, lexicon_weights, moves, start
 
-    def emission(self, word: str) -> np.ndarray:
-        out = self.weights[features(word)].sum(0)
-        k = self.lexicon.get(word.lower())
-        return out if k is None else out + self.lexicon_weights[k]
+        self.key = zlib.crc32(weights.tobytes() + moves.tobytes())
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Log weights (words x languages)."""
+        at, owner = features(words)
+        out = np.stack([np.bincount(owner, w[at], len(words)) for w in self.weights.T], 1)
+        known = [(i, k) for i, w in enumerate(words) if (k := self.lexicon.get(w.lower())) is not None]
+        if known:
+            at, k = map(list, zip(*known))
+            out[at] += self.lexicon_weights[k]
+        return out
 
 
 def forward_backward(emission: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: np.ndarray, pairs: bool = False):
@@ -106,16 +122,15 @@ def train(rows: list[tuple[str, str]], words: int = 160_000, steps: int = 60, se
     chains = np.array([sum(len(r) for _, r in runs[i : i + 4]) for i in range(0, len(runs), 4)])
     kinds = {w: i for i, w in enumerate(dict.fromkeys(tokens))}
     at = np.array([kinds[w] for w in tokens])
-    n, dim, pad = len(languages), 1 << BITS, 1 << BITS
+    n, dim = len(languages), 1 << BITS
     uses: dict[str, Counter] = {}
     for w, k in zip(tokens, labels.tolist()):
         uses.setdefault(w.lower(), Counter())[k] += 1
     lexicon = {w: c.most_common(1)[0][0] for w, c in uses.items() if c.total() >= 3 and max(c.values()) >= 0.7 * c.total()}
-    lists = [features(w) + ([dim + 1 + lexicon[w.lower()]] if w.lower() in lexicon else []) for w in kinds]
-    wide = max(map(len, lists))
-    index = np.full((len(lists), wide), pad)
-    for i, x in enumerate(lists):
-        index[i, : len(x)] = x
+    flat, owner = features(list(kinds))
+    named = [(i, dim + lexicon[w.lower()]) for w, i in kinds.items() if w.lower() in lexicon]
+    owner = np.concatenate([owner, np.array([i for i, _ in named], np.int64)])
+    flat = np.concatenate([flat, np.array([k for _, k in named], np.int64)])
     gold = np.zeros((len(tokens), n), np.float32)
     gold[np.arange(len(tokens)), labels] = 1
     heads = np.concatenate([[0], np.cumsum(chains)[:-1]])
@@ -123,27 +138,25 @@ def train(rows: list[tuple[str, str]], words: int = 160_000, steps: int = 60, se
     inner[heads] = False
     seen = np.zeros((n, n))
     np.add.at(seen, (labels[:-1][inner[1:]], labels[1:][inner[1:]]), 1)
-    # one vector of all parameters: features, padding, lexicon, moves, start
-    size = (dim + 1 + n) * n
+    # one vector of all parameters: features, lexicon, moves, start
+    size = (dim + n) * n
     p = np.zeros(size + n * n + n, np.float64)
     m1, m2 = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
         w = p[:size].reshape(-1, n)
-        kind_score = w[index].sum(1).astype(np.float32)
+        kind_score = np.stack([np.bincount(owner, w[flat, k], len(kinds)) for k in range(n)], 1).astype(np.float32)
         post, pairs, begun, _ = forward_backward(kind_score[at], chains, p[size:-n].reshape(n, n).astype(np.float32), p[-n:].astype(np.float32), pairs=True)
         g = np.zeros_like(p)
         diff = gold - post
         by_kind = np.stack([np.bincount(at, diff[:, k], len(kinds)) for k in range(n)], 1)
-        flat = index.ravel()
-        g[:size] = np.stack([np.bincount(flat, np.repeat(by_kind[:, k], wide), dim + 1 + n) for k in range(n)], 1).ravel()
+        g[:size] = np.stack([np.bincount(flat, by_kind[owner, k], dim + n) for k in range(n)], 1).ravel()
         g[size:-n] = (seen - pairs).ravel()
         g[-n:] = np.bincount(labels[heads], minlength=n) - begun
         g = g / len(tokens) - 1e-6 * p
-        g[pad * n : (pad + 1) * n] = 0
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         p += 0.08 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
     w = p[:size].reshape(-1, n).astype(np.float32)
-    return Model(languages, w[:dim], lexicon, w[dim + 1 :], p[size:-n].reshape(n, n).astype(np.float32), p[-n:].astype(np.float32))
+    return Model(languages, w[:dim], lexicon, w[dim:], p[size:-n].reshape(n, n).astype(np.float32), p[-n:].astype(np.float32))
 
 
 def held_out():
@@ -165,30 +178,36 @@ def fit(docs: DataFrame, train_rows: int = 1500) -> Model | None:
     return train([(r[0], r[1]) for r in sample.collect()])
 
 
-def _predictor(model: Model, most: int = 250_000, words_at_once: int = 300_000):
+_PREDICTORS: dict[int, object] = {}
+
+
+def _predictor(model: Model):
+    """The predictor of a model, one a worker process."""
+    if model.key not in _PREDICTORS:
+        _PREDICTORS.clear()
+        _PREDICTORS[model.key] = _make_predictor(model)
+    return _PREDICTORS[model.key]
+
+
+def _make_predictor(model: Model, most: int = 400_000, words_at_once: int = 200_000):
     known: dict[str, int] = {}
-    table = np.zeros((1024, len(model.languages)), np.float32)
+    table = np.zeros((most + words_at_once, len(model.languages)), np.float32)
 
     def index(words: list[str]) -> np.ndarray:
         nonlocal table
-        get = known.get
-        out = list(map(get, words))
-        if None in out:
-            for i, k in enumerate(out):
-                if k is None:
-                    w = words[i]
-                    k = known.get(w)
-                    if k is None:
-                        k = known[w] = len(known)
-                        if k >= len(table):
-                            table = np.concatenate([table, np.zeros_like(table)])
-                        table[k] = model.emission(w)
-                    out[i] = k
-        return np.array(out, np.int64)
+        new = list(set(words).difference(known))
+        if len(known) + len(new) > most:
+            known.clear()
+            new = list(set(words))
+        if new:
+            at = len(known)
+            if at + len(new) > len(table):
+                table = np.concatenate([table, np.zeros((len(new), table.shape[1]), table.dtype)])
+            table[at : at + len(new)] = model.emissions(new)
+            known.update(zip(new, range(at, at + len(new))))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def some(texts: list[str | None]) -> list[tuple[str, float]]:
-        if len(known) > most:
-            known.clear()
         chains, counts, words = [], [], []
         for t in texts:
             n = 0
