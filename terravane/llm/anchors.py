@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components
+from .common import Workspace, connected_components, slices
 
 THRESHOLD = 4
 BLOCKS = ((0, 21), (21, 21), (42, 22))
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long. Null text counts as empty."""
 
     def work(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([simhash64(t, width, seed) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
+from .common import held, slices
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -176,7 +178,7 @@ class Encoder:
     through the transducer.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most_pieces: int = 300_000, longest_piece: int = 64):
+    def __init__(self, vocabulary: Vocabulary, most_pieces: int = 250_000, longest_piece: int = 64):
         self.v, self.machine = vocabulary, Transducer(vocabulary)
         self.split = regex.compile(PATTERN).findall
         self.odd = regex.compile(r"\s \s|\s \Z").search
@@ -259,14 +261,9 @@ class Decoder:
         return "".join(machine.decode(b"".join(map(of, ids[at : at + block]))) for at in range(0, len(ids), block)) + machine.decode(b"", True)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The encoder of a file, one a worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(Vocabulary(path))
-    return _ENCODERS[path]
+    return held(("bpe", path), lambda: Encoder(Vocabulary(path)))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -275,7 +272,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def work(batches):
         own = encoder(name or tokenizer_path())
-        for b in batches:
+        for b in slices(batches):
             ids = [own.encode(t) if t else [] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -288,7 +285,7 @@ def decode_documents(tokens: DataFrame, path: str | None = None) -> DataFrame:
 
     def work(batches):
         own = Decoder(encoder(name or tokenizer_path()).v)
-        for b in batches:
+        for b in slices(batches):
             text = [own.decode(x or []) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], ["doc_id", "text"])
 
@@ -306,7 +303,7 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def work(batches):
         own = encoder(name or tokenizer_path())
         back, digits = Decoder(own.v), {i: str(i) for i in own.v.decoded}.__getitem__
-        for b in batches:
+        for b in slices(batches):
             rows: tuple[list, ...] = ([], [], [])
             for text in b.column(1).to_pylist():
                 ids = own.encode(text) if text else []

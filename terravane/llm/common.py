@@ -61,6 +61,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a worker process keeps between tasks, of one operator at a time: another's makes room."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def slices(batches, rows: int = 1000):
+    """Record batches of so many rows at most, without copies."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def compact(df: DataFrame) -> DataFrame:
     """Digests of texts, a few bytes a row, dealt out anew: few files of many rows instead of one for every task that read texts."""
     return df.repartition(F.col("doc_id"))

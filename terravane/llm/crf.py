@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of
+from .common import crc32_of, held, slices
 
 BITS = 15
 NONE = "und"
@@ -178,18 +178,12 @@ def fit(docs: DataFrame, train_rows: int = 1500) -> Model | None:
     return train([(r[0], r[1]) for r in sample.collect()])
 
 
-_PREDICTORS: dict[int, object] = {}
-
-
 def _predictor(model: Model):
     """The predictor of a model, one a worker process."""
-    if model.key not in _PREDICTORS:
-        _PREDICTORS.clear()
-        _PREDICTORS[model.key] = _make_predictor(model)
-    return _PREDICTORS[model.key]
+    return held(("crf", model.key), lambda: _make_predictor(model))
 
 
-def _make_predictor(model: Model, most: int = 400_000, words_at_once: int = 200_000):
+def _make_predictor(model: Model, most: int = 250_000, words_at_once: int = 200_000):
     known: dict[str, int] = {}
     table = np.zeros((most + words_at_once, len(model.languages)), np.float32)
 
@@ -254,7 +248,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def work(batches):
         predict = _predictor(model) if model else (lambda texts: [(NONE, 0.0)] * len(texts))
-        for b in batches:
+        for b in slices(batches):
             found = predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -272,7 +266,7 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     def work(batches):
         predict = _predictor(model) if model else (lambda texts: [(NONE, 0.0)] * len(texts))
-        for b in batches:
+        for b in slices(batches):
             keep = [lang != NONE and score >= least for lang, score in predict(b.column(at).to_pylist())]
             yield b.filter(pa.array(keep, pa.bool_()))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_path
-from .common import Workspace
+from .common import Workspace, held
 
 MAGIC = b"DAC1"
 EVERY = 512  # bits a rank entry
@@ -185,13 +185,8 @@ class LibraryEncoder:
         return [h if p is None else h + b"".join(map(known, p[1:])) for h, p in zip(heads, plain)]
 
 
-_LIBRARY: dict[str, LibraryEncoder] = {}
-
-
 def _library(path: str) -> LibraryEncoder:
-    if path not in _LIBRARY:
-        _LIBRARY[path] = LibraryEncoder(path)
-    return _LIBRARY[path]
+    return held(("library", path), lambda: LibraryEncoder(path))
 
 
 def _bucket(column, bounds: list[int]):

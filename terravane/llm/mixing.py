@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, slices
 
 DOMAINS = ("clean", "low", "toxic")
 #: Share of tokens that each domain is to have.
@@ -115,7 +115,7 @@ def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """(doc_id, tokens, p array<double>) of each row's whole text. Null text is empty: no tokens."""
 
     def work(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [classifier.posteriors(t) for t in b.column(1).to_pylist()]
             p = pa.array([x[1].tolist() for x in found], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.int64()), p], ["doc_id", "tokens", "p"])
