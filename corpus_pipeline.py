@@ -17,8 +17,8 @@ TARGETS = {"clean": 0.955, "low": 0.044, "toxic": 0.001}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the field can tell; those of no letter or of no prevailing language go."""
-    return crf.keep_known(docs, least=0.4)
+    """Documents whose language the field can tell; those of no letter, or with all languages about as likely, go."""
+    return crf.keep_known(docs, least=0.3)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
