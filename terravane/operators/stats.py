@@ -34,6 +34,13 @@ def lower_weighted_median(df: DataFrame, by: list[str], x: str, w: str, alias: s
     return found.where(F.col("__run") >= F.col("__all") / 2).groupBy(*by).agg(F.min(x).alias(alias))
 
 
+def median_with_fallback(df: DataFrame, by: list[str], x: str, w: str, alias: str = "median") -> DataFrame:
+    """Lower weighted median; the plain median of the values where they have no weight (A15); a row for every group."""
+    weighted = lower_weighted_median(df, by, x, w, "__weighted")
+    plain = df.groupBy(*by).agg(F.median(x).alias("__plain"))
+    return plain.join(weighted, by, "left").select(*by, F.coalesce("__weighted", "__plain").alias(alias))
+
+
 def weighted_mode(df: DataFrame, by: list[str], x: str, w: str, alias: str = "mode") -> DataFrame:
     """Value of most weight, the first in order among ties (A16). Two sums, no window."""
     sums = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.sum(w).alias("__w"))

@@ -347,3 +347,64 @@ def g13_greedy_cover(spark: SparkSession, d: str) -> DataFrame:
     pairs = geo.radius_join(_points(spark, d, "c"), _points(spark, d, "s"), 120.0)
     weights = _t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("unit"), F.col("c_acctbal").alias("w"))
     return graph.greedy_cover(spark, pairs.select(F.col("s_id").alias("candidate"), F.col("c_id").alias("unit")), weights, steps=5)
+
+
+@query(f"""with {_PLACES}, g as (select nation, n, case when nation % 5 = 0 then 0.0 else w end as w from places), v as (select nation, n, sum(w) as w from g where w > 0 group by 1, 2),
+r as (select *, sum(w) over (partition by nation order by n) as run, sum(w) over (partition by nation) as total from v), m as (select nation, min(n) as wm from r where run >= total / 2 group by 1)
+select nation, coalesce(wm, plain)::double as median from (select nation, median(n) as plain from g group by 1) p left join m using (nation)""")
+def a15_median_with_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Groups without weight take the plain median."""
+    p = _places(spark, d).withColumn("w", F.when(F.col("nation") % 5 == 0, 0.0).otherwise(F.col("w")))
+    return stats.median_with_fallback(p, ["nation"], "n", "w").withColumn("median", F.col("median").cast("double"))
+
+
+@query(f"""with {_PLACES}, g as (select *, case when n between 8 and 12 then n end as x from places) select nation, round(sum(x * w) filter (where x is not null) / sum(w) filter (where x is not null), 6) as mean, round(100.0 * sum(case when x is not null then w else 0 end) / sum(w), 6) as covered from g group by 1""")
+def a13_mean_with_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of known values and the weight that they cover."""
+    x, w = F.when(F.col("n").between(8, 12), F.col("n")), F.col("w")
+    return _places(spark, d).groupBy("nation").agg(F.round(stats.weighted_mean(x, w), 6).alias("mean"), F.round(stats.coverage(x, w), 6).alias("covered"))
+
+
+@query("""with t as (select l_suppkey, sum(l_extendedprice * l_discount) as a, sum(l_extendedprice) as b from lineitem group by 1) select s_nationkey, round(sum(a) / sum(b), 8) as rate from t join supplier on s_suppkey = l_suppkey group by 1""")
+def a19_ratio_of_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Numerators and denominators are summed before they are divided."""
+    li = _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("a"), F.sum("l_extendedprice").alias("b"))
+    s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    return li.join(s, "l_suppkey").groupBy("s_nationkey").agg(F.round(F.sum("a") / F.sum("b"), 8).alias("rate"))
+
+
+@query("""select 'both' as part, count(*) as n from (select o_custkey from orders where o_orderstatus = 'F' intersect select o_custkey from orders where o_orderstatus = 'O')
+union all select 'first', count(*) from (select o_custkey from orders where o_orderstatus = 'F' except select o_custkey from orders where o_orderstatus = 'O')
+union all select 'either', count(*) from (select o_custkey from orders where o_orderstatus = 'F' union select o_custkey from orders where o_orderstatus = 'O')""")
+def u_set_operations(spark: SparkSession, d: str) -> DataFrame:
+    """One grouped pass tells in which sets each key is."""
+    o = _t(spark, d, "orders").where("o_orderstatus in ('F', 'O')")
+    keys = o.groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "F").alias("f"), F.bool_or(F.col("o_orderstatus") == "O").alias("o"))
+    n = keys.agg(F.count_if(F.col("f") & F.col("o")).alias("both"), F.count_if(F.col("f") & ~F.col("o")).alias("first"), F.count(F.lit(1)).alias("either"))
+    return n.selectExpr("stack(3, 'both', both, 'first', first, 'either', either) as (part, n)")
+
+
+@query("""with p as (select p_partkey, lower(p_name) as name from part), s as (select p_partkey, case when name = 'air steel' then 10 else 0 end
+  + case when list_contains(string_split(name, ' '), 'air') then 6 when contains(' ' || name, ' air') then 4 when contains(name, 'air') then 1 else 0 end
+  + case when list_contains(string_split(name, ' '), 'steel') then 6 when contains(' ' || name, ' steel') then 4 when contains(name, 'steel') then 1 else 0 end as score from p)
+select p_partkey, score from s where score > 0 order by score desc, p_partkey limit 25""")
+def m14_search(spark: SparkSession, d: str) -> DataFrame:
+    """The 25 best of a text search."""
+    p = _t(spark, d, "part").select("p_partkey", X.search_score(F.col("p_name"), "air steel").alias("score"))
+    return p.where("score > 0").orderBy(F.desc("score"), "p_partkey").limit(25)
+
+
+@query(f"""with {_PAIRS}, h as (select c_id, s_id, 2 * 3958.8 * asin(sqrt(least(1.0, pow(sin(radians(s.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - c.lon) / 2), 2)))) * 1.2 as mi from c, s)
+select c_id, count(distinct l_orderkey) as items from h join lineitem on l_suppkey = s_id where floor(mi + 0.5) <= 50 and l_quantity > 48 group by 1""")
+def g21_finder(spark: SparkSession, d: str) -> DataFrame:
+    """Different items within 50 miles, 1.2 times the great-circle distance, rounded."""
+    pairs = geo.radius_join(_points(spark, d, "c"), _points(spark, d, "s"), 44.0, geo.haversine).where(F.floor(F.col("mi") * 1.2 + 0.5) <= 50)
+    items = _t(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_suppkey").alias("s_id"), "l_orderkey")
+    return pairs.select("c_id", "s_id").join(items, "s_id").groupBy("c_id").agg(F.count_distinct("l_orderkey").alias("items"))
+
+
+@query("""select o_orderkey, case o_orderstatus when 'F' then 'done' when 'O' then 'open' else 'other' end as label from orders where o_totalprice > 450000""")
+def p3_code_map(spark: SparkSession, d: str) -> DataFrame:
+    """Codes mapped with a default."""
+    known = F.create_map(F.lit("F"), F.lit("done"), F.lit("O"), F.lit("open"))
+    return _t(spark, d, "orders").where("o_totalprice > 450000").select("o_orderkey", F.coalesce(known[F.col("o_orderstatus")], F.lit("other")).alias("label"))
