@@ -147,27 +147,31 @@ class LibraryEncoder:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        old, known, width = self.old, self.known, self.width
-        for p in [p for p in new if p in old]:
-            known[p] = old[p]
-        # one that ends in white space mustn't stand before another blank
-        apart = [p for p in new if p not in known and (not p or p[-1].isspace())]
+        old, known, width = self.old.get, self.known, self.width
+        apart, tails, whole = [], [], set()
+        for p in new:
+            if (b := old(p)) is not None:
+                known[p] = b
+            elif not p or p[-1].isspace():  # mustn't stand before another blank
+                apart.append(p)
+            elif p[-1] in ",." and p[-2:-1].isalpha():  # a comma or full stop after a letter is a pre-token of its own
+                tails.append(p)
+                if (base := p[:-1]) not in known:
+                    whole.add(base)
+            else:
+                whole.add(p)
         known.update(zip(apart, self._ask([" " + p for p in apart])))
-        # a comma or full stop after a letter is a pre-token of its own
-        ends_so = [p for p in new if p not in known and p[-1] in ",." and p[-2:-1].isalpha()]
-        whole = {p for p in new if p not in known}.difference(ends_so)
-        whole.update(p[:-1] for p in ends_so if p[:-1] not in known)
         joint = list(whole)
         for at in range(0, len(joint), 20_000):
             part = joint[at : at + 20_000]
-            raw = self._ask([" " + " ".join(part)])[0]
-            ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in part), np.int64, len(part)))
-            stop = (np.searchsorted(np.cumsum(self.size[np.frombuffer(raw, f"<u{width}")]), ends) + 1) * width
-            a = 0
-            for p, b in zip(part, stop.tolist()):
-                known[p] = raw[a:b]
-                a = b
-        known.update([(p, known[p[:-1]] + self.marks[p[-1]]) for p in ends_so])
+            text = " " + " ".join(part)
+            raw = self._ask([text])[0]
+            data = np.frombuffer(text.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(data == 0x20)[1:], len(data))  # a blank before each piece and none inside
+            stop = ((np.searchsorted(np.cumsum(self.size[np.frombuffer(raw, f"<u{width}")]), ends) + 1) * width).tolist()
+            known.update(zip(part, [raw[a:b] for a, b in zip([0, *stop], stop)]))
+        marks = self.marks
+        known.update([(p, known[p[:-1]] + marks[p[-1]]) for p in tails])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian numbers of ``width`` bytes."""
