@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import geo, graph, joins, quality, stats
+from .operators import geo, graph, joins, polygons, quality, stats
 from .plans.catalog import Field, Table
 from .plans.engine import aggregate_frame, query_frame
 
@@ -408,3 +408,54 @@ def p3_code_map(spark: SparkSession, d: str) -> DataFrame:
     """Codes mapped with a default."""
     known = F.create_map(F.lit("F"), F.lit("done"), F.lit("O"), F.lit("open"))
     return _t(spark, d, "orders").where("o_totalprice > 450000").select("o_orderkey", F.coalesce(known[F.col("o_orderstatus")], F.lit("other")).alias("label"))
+
+
+#: A concave shape with a hole around each nation's centre: offsets of its points by ring.
+_SHAPE = (((-3.0, -1.5), (3.0, -1.5), (2.0, 0.25), (3.0, 1.5), (-3.0, 1.5)), ((-1.0, -0.5), (0.5, -0.5), (0.0, 0.75)))
+
+
+def _shapes(spark, d) -> DataFrame:
+    k = F.col("n_nationkey").cast("long")
+    x, y = -97 + (k % 5) * 6.0, 31.5 + F.floor(k / 5) * 3.0
+    rings = F.array(*(F.array(*(F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in ring)) for ring in _SHAPE))
+    return _t(spark, d, "nation").select(k.alias("nation"), rings.alias("rings"))
+
+
+_SIDES = (
+    "sides as (select n_nationkey::bigint as nation, r, -97 + (n_nationkey % 5) * 6.0 + x1 as x1, 31.5 + (n_nationkey // 5) * 3.0 + y1 as y1, -97 + (n_nationkey % 5) * 6.0 + x2 as x2, 31.5 + (n_nationkey // 5) * 3.0 + y2 as y2 from nation, (values "
+    + ", ".join(f"({r}, {a[0]}::double, {a[1]}::double, {b[0]}::double, {b[1]}::double)" for r, ring in enumerate(_SHAPE) for a, b in zip(ring, ring[1:] + ring[:1]))
+    + ") t(r, x1, y1, x2, y2))"
+)
+_XY = "p as (select c_custkey as c_id, -100 + (c_custkey * 104729 % 3000) / 100.0 as x, 30 + (c_custkey * 7919 % 1500) / 100.0 as y from customer)"
+
+
+@query(f"""with {_SIDES}, {_XY},
+odd as (select c_id, nation, r, count(*) filter (where (y1 > y) <> (y2 > y) and x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1 as hit from p, sides group by 1, 2, 3),
+inside as (select c_id, min(nation) as nation from (select c_id, nation from odd group by 1, 2 having bool_or(hit and r = 0) and not bool_or(hit and r = 1)) group by 1),
+foot as (select c_id, nation, x, y, x1, y1, x2 - x1 as dx, y2 - y1 as dy, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) as t from p, sides where c_id not in (select c_id from inside)),
+near as (select c_id, nation, min(sqrt(pow(x - x1 - t * dx, 2) + pow(y - y1 - t * dy, 2))) as away from foot group by 1, 2)
+select c_id, nation, 0.0::double as away from inside
+union all select c_id, nation, round(away, 6) as away from (select *, row_number() over (partition by c_id order by away, nation) as k from near where away <= 0.3) where k = 1""")
+def j10_point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
+    """The nation's shape that a customer lies in, or at most 0.3 from."""
+    points = _points(spark, d, "c").withColumnsRenamed({"lon": "x", "lat": "y"})
+    return _rounded(polygons.locate(points, _shapes(spark, d), "c_id", "nation", cell=1.5, within=0.3), "away")
+
+
+@query(f"""with {_SIDES}, e as (select nation, r, abs(sum(2 * atan2(tan(radians(x2 - x1) / 2) * (tan(radians(y1) / 2) + tan(radians(y2) / 2)), 1 + tan(radians(y1) / 2) * tan(radians(y2) / 2)))) as a from sides group by 1, 2)
+select nation, round(sum(case when r = 0 then a else -a end) * 3958.8 * 3958.8, 3) as square_miles from e group by 1""")
+def x20_spherical_area(spark: SparkSession, d: str) -> DataFrame:
+    """Areas on the sphere, holes taken out."""
+    return _shapes(spark, d).select("nation", F.round(polygons.spherical_area(F.col("rings")) * geo.EARTH_MILES**2, 3).alias("square_miles"))
+
+
+@query(f"""with {_XY}, k as (select sqrt(0.00669438002290) as e, 0.00669438002290 as e2),
+s as (select c_id, x, sin(radians(v)) as s, w from (select c_id, x, y as v, 'p' as w from p union all select null, null, 29.5, '1' union all select null, null, 45.5, '2' union all select null, null, 23.0, '0')),
+q as (select c_id, x, w, (1 - s * s) / (1 - e2 * s * s) as m, (1 - e2) * (s / (1 - e2 * s * s) - ln((1 - e * s) / (1 + e * s)) / (2 * e)) as q from s, k),
+c as (select a.m as m1, a.q as q1, z.q as q0, (a.m - b.m) / (b.q - a.q) as n from q a, q b, q z where a.w = '1' and b.w = '2' and z.w = '0'),
+r as (select c_id, x, n, 6378137.0 * sqrt(m1 + n * q1 - n * q) / n as rho, 6378137.0 * sqrt(m1 + n * q1 - n * q0) / n as rho0 from q, c where w = 'p')
+select c_id, round(rho * sin(n * radians(x + 96)), 3) as east, round(rho0 - rho * cos(n * radians(x + 96)), 3) as north from r""")
+def x19_equal_area(spark: SparkSession, d: str) -> DataFrame:
+    """customers' places in metres of the equal-area projection."""
+    east, north = polygons.albers(F.col("lon"), F.col("lat"))
+    return _points(spark, d, "c").select("c_id", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
