@@ -100,3 +100,18 @@ def test_stream_of_snapshots(spark, tmp_path):
 def test_queries_without_sql_run(spark):
     assert QUERIES["g4_nearest_source"](spark, "/root/testdata/sf0.001").count() > 0
     assert QUERIES["g13_greedy_cover"](spark, "/root/testdata/sf0.001").count() == 5
+
+
+def test_components(spark):
+    rng = random.Random(12)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(100 + i, 101 + i) for i in range(30)]
+    label = {n: n for e in edges for n in e}
+    moved = True
+    while moved:
+        moved = False
+        for u, v in edges:
+            low = min(label[u], label[v])
+            moved |= label[u] != low or label[v] != low
+            label[u] = label[v] = low
+    got = dict(map(tuple, graph.components(spark, spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert got == label
