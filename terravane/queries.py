@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import entities, geo, graph, joins, polygons, quality, stats
+from .operators import entities, evidence, geo, graph, joins, polygons, quality, stats
 from .plans.catalog import Field, Table
 from .plans.engine import aggregate_frame, query_frame
 
@@ -472,3 +472,12 @@ def g19_entities(spark: SparkSession, d: str) -> DataFrame:
     slip = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.left("p_name", F.lit(1)), "p_name")).otherwise(F.col("p_name"))
     name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.upper(slip), F.lit("."))).otherwise(slip)
     return entities.resolve(spark, _t(spark, d, "part").withColumn("name", name), "p_partkey", ["p_size"], "name")
+
+
+@query("""with c as (select l_suppkey, l_returnflag as flag, count(*) as n from lineitem where l_returnflag is not null group by 1, 2),
+b as (select *, row_number() over (partition by l_suppkey order by n desc, flag) as k, sum(n) over (partition by l_suppkey) as total from c)
+select l_suppkey, flag, n::bigint as n, total::bigint as total from b where k = 1 and total >= 2 and 2 * n >= 1 * total""")
+def g17_majority(spark: SparkSession, d: str) -> DataFrame:
+    """The return flag of half or more of a supplier's lines."""
+    rows = _t(spark, d, "lineitem").select("l_suppkey", F.col("l_returnflag").alias("flag"))
+    return evidence.majority(rows, ["l_suppkey"], "flag", share=(1, 2))
