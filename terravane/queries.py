@@ -337,7 +337,7 @@ def _roads(spark, d) -> DataFrame:
 @query()
 def g4_nearest_source(spark: SparkSession, d: str) -> DataFrame:
     """Miles and hours to the nearest of the suppliers of large balance, within 60 miles."""
-    sources = _t(spark, d, "supplier").where("s_acctbal > 9000").select(F.col("s_suppkey").alias("node"))
+    sources = _t(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("node"))
     return graph.nearest_source(spark, _roads(spark, d), sources, within=60.0)
 
 
