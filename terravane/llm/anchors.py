@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import Workspace, connected_components, slices
 
 THRESHOLD = 4
@@ -185,13 +186,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, seed:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Documents with one of each near-duplicate group (five-word shingles): the one of smallest doc_id.
+    """Documents with one of each near-duplicate group (five-word shingles, similarity of 0.8 or more): the one of smallest doc_id.
 
     Rows with null doc_id stay. Columns and other rows are as they came; of repeated rows of that
     doc_id all stay, as they are one document.
     """
-    found = near_duplicates(spark, docs)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
+    gone = jaccard.near_duplicates(spark, docs).where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
 
 

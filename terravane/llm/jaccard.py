@@ -1,0 +1,160 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles.
+
+A document is the set of its shingles' XXH64. Candidates come from MinHash: a set has ``BANDS`` keys of
+``ROWS`` minima each, and two sets of similarity 0.8 have no key in common with a chance of
+(1 - 0.8^4)^30, 1.4e-7. Every candidate is confirmed by the exact similarity of both sets, so a link is never
+wrong. Large groups don't come out as all their pairs: for a few turns only neighbours in some order are
+looked at in each key, and then all pairs whose ends these didn't join.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import Workspace, connected_components, slices
+
+BANDS = 30
+ROWS = 4
+#: Bands of the turns that look at neighbours.
+TURNS = (4, BANDS)
+_RNG = np.random.default_rng(17)
+_MULTIPLY = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingle_set(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted different XXH64 of a text's shingles, of words as in ``anchors.simhash64``; none where it has no word."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    n = max(1, len(words) - width + 1)
+    starts, last = (ends - lengths)[:n], ends[width - 1 :] if len(words) >= width else ends[-1:]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[s:e], seed) for s, e in zip(starts.tolist(), last.tolist())], np.uint64))
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """The keys of a set that isn't empty, as signed longs."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 256):
+        np.minimum(least, (own[at : at + 256, None] * _MULTIPLY + _ADD).min(0), out=least)
+    return np.array([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
+
+
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+
+
+def marks(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """(doc_id, row, node, size, keys) of every row; row: a hash of its text, node: of its set, keys: its bands' keys."""
+
+    def work(batches):
+        for b in slices(batches):
+            sets = [shingle_set(t, width, seed) for t in b.column(2).to_pylist()]
+            keys = pa.array([band_keys(s).tolist() if len(s) else [] for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_digests(sets)), pa.array(list(map(len, sets)), pa.int64()), keys], ["doc_id", "row", "node", "size", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInArrow(work, "doc_id long, row long, node long, size long, keys array<long>")
+
+
+def _near(rows: DataFrame, similarity: float, turn: int | None = None) -> DataFrame:
+    """(u, v): pairs of nodes of equal key and different label whose sizes allow the similarity, u the smaller.
+
+    rows: (key, node, size, label). In a turn only neighbours in an order of its own, without one all.
+    """
+    neighbours = turn is not None
+    mixer = np.int64(2 * 0x2545F4914F6CDD1D * ((turn or 0) + 1) % (1 << 63) + 1)
+
+    def pairs(key, node, size, label, most=1 << 20):
+        order = np.lexsort((node * mixer, key) if neighbours else (node, label, key))
+        key, node, size, label = key[order], node[order], size[order], label[order]
+        n = len(key)
+        if neighbours:
+            todo = [(np.arange(n - 1), np.arange(1, n))] if n else []
+        else:
+            end = np.searchsorted(key, key, side="right")
+            turn = np.flatnonzero(np.r_[(key[1:] != key[:-1]) | (label[1:] != label[:-1]), True]) + 1 if n else np.zeros(0, np.int64)
+            first = turn[np.searchsorted(turn, np.arange(n), side="right")] if n else turn
+            todo = _spans(first, end, most)
+        for a, b in todo:
+            least, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+            ok = (key[a] == key[b]) & (label[a] != label[b]) & (least >= similarity * large - 1e-9)
+            if ok.any():
+                u, v = node[a[ok]], node[b[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    def work(batches):
+        held = [np.zeros(0, np.int64)] * 4
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held = [np.concatenate([h, b.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on
+            yield from pairs(*(h[:cut] for h in held))
+            held = [h[cut:].copy() for h in held]
+        yield from pairs(*held)
+
+    return rows.select("key", "node", "size", "label").repartition("key").sortWithinPartitions("key").mapInArrow(work, "u long, v long").distinct()
+
+
+def _spans(first: np.ndarray, end: np.ndarray, most: int):
+    """Index arrays of the pairs (i, first[i] .. end[i] - 1), so many at a time."""
+    n = np.maximum(0, end - first)
+    total = np.concatenate([[0], np.cumsum(n)])
+    for at in range(0, int(total[-1]), most):
+        k = np.arange(at, min(at + most, int(total[-1])))
+        i = np.searchsorted(total, k, side="right") - 1
+        yield i, first[i] + k - total[i]
+
+
+def _confirmed(work: Workspace, docs: DataFrame, rows: DataFrame, found: DataFrame, share: tuple[int, int], width: int, seed: int, name: str) -> DataFrame:
+    """Those of the pairs (u, v) whose sets are as similar as share[0] / share[1]. rows: (node, row), row a hash of a text that has the set."""
+
+    def sets_of(batches):
+        for b in slices(batches):
+            sets = [shingle_set(t, width, seed) for t in b.column(0).to_pylist()]
+            own = pa.array([s.view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(_digests(sets)), own], ["node", "own"])
+
+    found = work.table(found, f"{name}-pairs")
+    ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = docs.select("text", F.xxhash64("text").alias("row")).join(rows.join(ends, "node").select("row"), "row", "left_semi")
+    sets = work.table(texts.groupBy("row").agg(F.first("text").alias("text")).select("text").mapInArrow(sets_of, "node long, own array<long>").dropDuplicates(["node"]), f"{name}-sets")
+    both = found.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
+    both = both.select("u", "v", F.size(F.array_intersect("a", "b")).cast("long").alias("n"), (F.size("a") + F.size("b")).cast("long").alias("total"))
+    # n / (total - n) >= share[0] / share[1]
+    return work.table(both.where(F.col("n") * sum(share) >= F.col("total") * share[0]).select("u", "v"), f"{name}-links")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (4, 5), width: int = 5, seed: int = 42) -> DataFrame:
+    """(doc_id, component_id) of every row of ``docs`` (doc_id, text, others are ignored).
+
+    Rows link where the Jaccard similarity of their shingle sets is share[0] / share[1] or more (the bands are
+    laid out for 4 / 5); component_id is the smallest doc_id that links reach, null where there is none. Texts
+    without a word are equal to each other.
+    """
+    work = Workspace(spark, "jaccard")
+    marked = work.table(marks(docs, width, seed), "marked")
+    different = work.table(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("row").alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys")), "different")
+    keyed = different.select("node", "size", F.posexplode("keys").alias("band", "key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    keyed = work.table(keyed.join(shared, "key"), "keyed")
+    rows, similarity = different.select("node", "row"), share[0] / share[1]
+    links, live = None, keyed.withColumn("label", F.col("node"))
+    for turn, bands in enumerate((*TURNS, None)):
+        pairs = _near(live, similarity) if bands is None else _near(live.where(F.col("band") < bands), similarity, turn)
+        new = _confirmed(work, docs, rows, pairs, share, width, seed, f"turn{turn}")
+        links = new if links is None else links.unionByName(new)
+        labels = connected_components(work, links, f"cc{turn}")
+        live = keyed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    joined = different.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
+    smallest = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    classes = work.table(joined.join(smallest, "label").select("node", "component_id"), "classes")
+    return marked.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")

@@ -150,6 +150,28 @@ def test_anchor_dedup_odd_rows(spark, odd, empty):
     assert {r["doc_id"] for r in anchors.keep_one(spark, odd).collect()} == {1, 4, 5, 7, 8, None}
 
 
+def test_near_dedup_finds_similarity_of_four_fifths(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(5, 300))]
+        for _ in range(6):
+            own = list(words)
+            for at in rng.sample(range(len(own)), rng.randint(0, 1 + len(own) // 35)):
+                own[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in anchors.keep_one(spark, docs).collect()} == set(root)
+    assert len(set(root)) < len({anchors.simhash64(t, 5, 42) for t in texts})
+
+
 def test_fingerprints_odd_rows(spark, odd, empty):
     rows = [(i, t) for i, t in ODD if i and i != 4]
     got = {r["doc_id"]: r for r in fingerprint.edited_fingerprints(spark, odd.where("doc_id <> 4"), docs_a_bucket=2).collect()}
