@@ -128,14 +128,20 @@ def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return b.column(b.schema.get_field_index("tokens")).to_numpy(zero_copy_only=False).astype(float), np.asarray(p.flatten()).reshape(len(p), -1)
 
 
-def _replay(p: np.ndarray, gaps: np.ndarray, max_rate: float) -> np.ndarray:
+def _free(p: np.ndarray, bounds: bool) -> np.ndarray:
+    """Rows whose rate is fitted: all, or with bounds those to which another domain is likelier than clean."""
+    return p[:, 0] < p.max(1) if bounds else np.ones(len(p), bool)
+
+
+def _replay(p: np.ndarray, gaps: np.ndarray, max_rate: float, bounds: bool) -> np.ndarray:
     r = np.ones(len(p))
+    p = p * _free(p, bounds)[:, None]
     for g in gaps:
         r = np.clip(r - p @ g, 0, max_rate)
     return r
 
 
-def _totals(scored: DataFrame, gaps: np.ndarray, max_rate: float) -> tuple[np.ndarray, np.ndarray]:
+def _totals(scored: DataFrame, gaps: np.ndarray, max_rate: float, bounds: bool) -> tuple[np.ndarray, np.ndarray]:
     """(expected tokens by domain, matrix of sum tokens * p * p') under the rates that the gaps lead to."""
     n = len(DOMAINS)
 
@@ -143,7 +149,7 @@ def _totals(scored: DataFrame, gaps: np.ndarray, max_rate: float) -> tuple[np.nd
         for b in batches:
             tokens, p = _arrays(b)
             if len(p):
-                x = tokens * _replay(p, gaps, max_rate)
+                x = tokens * _replay(p, gaps, max_rate, bounds)
                 yield pa.RecordBatch.from_arrays([pa.array([v]) for v in [*(x @ p), *((p * tokens[:, None]).T @ p).ravel()]], names)
 
     names = [f"s{k}" for k in range(n + n * n)]
@@ -152,16 +158,22 @@ def _totals(scored: DataFrame, gaps: np.ndarray, max_rate: float) -> tuple[np.nd
     return sums[:n], sums[n:].reshape(n, n)
 
 
-def fit_rates(scored: DataFrame, targets: dict[str, float], max_rate: float, steps: int = 60, close: float = 1e-3) -> np.ndarray:
-    """The scaled gaps whose replay gives the rates. Stops when totals are within ``close`` of the targets."""
+def fit_rates(scored: DataFrame, targets: dict[str, float], max_rate: float, steps: int = 60, close: float = 1e-3, bounds: bool = False) -> np.ndarray:
+    """The scaled gaps whose replay gives the rates. Stops when totals are within ``close`` of the targets.
+
+    With bounds, targets of domains other than clean are the most they may have beside all clean tokens, and
+    rows that are likeliest clean keep a rate of 1.
+    """
     gaps = np.zeros((0, len(DOMAINS)))
-    now, gram = _totals(scored, gaps, max_rate)
+    now, gram = _totals(scored, gaps, max_rate, bounds)
     share = np.array([targets[d] for d in DOMAINS])
     if now.sum() <= 0:
         return gaps
     # the most tokens that no domain needs more of than it can give
     budget = min(now.sum(), *(now[share > 0] * max_rate / share[share > 0]))
     goal = share * budget
+    if bounds:
+        goal = np.minimum(now, share * now[0] / share[0])
     step = 1 / max(np.linalg.eigvalsh(gram)[-1], 1e-12)
     best = np.inf
     for _ in range(steps):
@@ -171,22 +183,22 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], max_rate: float, ste
             break
         best = min(best, miss)
         gaps = np.vstack([gaps, gap * step])
-        now, _ = _totals(scored, gaps, max_rate)
+        now, _ = _totals(scored, gaps, max_rate, bounds)
     return gaps
 
 
-def rates(scored: DataFrame, gaps: np.ndarray, max_rate: float) -> DataFrame:
+def rates(scored: DataFrame, gaps: np.ndarray, max_rate: float, bounds: bool = False) -> DataFrame:
     """``scored`` with each row's rate."""
 
     def work(batches):
         for b in batches:
             _, p = _arrays(b)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_replay(p, gaps, max_rate), pa.float64())], [*b.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_replay(p, gaps, max_rate, bounds), pa.float64())], [*b.schema.names, "rate"])
 
     return scored.mapInArrow(work, "doc_id long, tokens long, p array<double>, rate double")
 
 
-def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = 4.0) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = 4.0, bounds: bool = False) -> DataFrame:
     """(doc_id, tokens, p, rate, copies) of each row: how often it is to be used in expectation, and how often it is.
 
     copies rounds rate up or down by a hash of doc_id, so it keeps the expectation. Empty texts have no
@@ -195,17 +207,18 @@ def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[s
     """
     work = Workspace(spark, "mixing")
     scored = work.table(posteriors(docs, fit(docs, labels)), "scored")
-    out = rates(scored, fit_rates(scored, targets, max_rate), max_rate)
+    out = rates(scored, fit_rates(scored, targets, max_rate, bounds=bounds), max_rate, bounds)
     luck = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id"), 11) / F.lit(float(1 << 53))
     return out.withColumn("copies", F.floor(F.round("rate", 9) + luck).cast("long"))
 
 
 def keep_mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``docs`` thinned to the target weights: rates of 1 at most, rows of no copy go, others stay once.
+    """``docs`` without the low-quality and toxic text beyond its share: rates of 1 at most, rows of no copy go, others stay once.
 
-    Rows are told apart by doc_id; null doc_ids stay.
+    The shares of low and toxic are upper bounds, so rows that are likeliest clean stay at every mix, and with
+    no labels all do. Rows are told apart by doc_id; null doc_ids stay.
     """
-    mixed = mix(spark, docs, labels, targets, max_rate=1.0)
+    mixed = mix(spark, docs, labels, targets, max_rate=1.0, bounds=True)
     gone = mixed.where("copies = 0").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
 

@@ -286,6 +286,30 @@ def test_mixing_meets_targets(spark, odd, empty):
     assert mixing.mix(spark, empty, labels).count() == 0
 
 
+def _scored(spark, shares, n=3000):
+    """(doc_id, tokens, p) whose likeliest domains have these shares."""
+    rng = np.random.default_rng(4)
+    kind = rng.choice(3, n, p=shares)
+    z = rng.normal(0, 1, (n, 3))
+    z[np.arange(n), kind] += 5
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    rows = [(i, int(t), x) for i, (t, x) in enumerate(zip(rng.integers(50, 800, n), p.tolist()))]
+    return spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>").coalesce(4).cache()
+
+
+@pytest.mark.parametrize("shares", [(0.78, 0.11, 0.11), (0.97, 0.02, 0.01), (0.98, 0.01, 0.01)])
+def test_clean_documents_stay_at_every_mix(spark, shares):
+    scored = _scored(spark, shares)
+    rows = mixing.rates(scored, mixing.fit_rates(scored, corpus_pipeline.TARGETS, 1.0, bounds=True), 1.0, bounds=True).collect()
+    assert all(r["rate"] == 1 for r in rows if max(r["p"]) == r["p"][0])
+    assert np.mean([r["rate"] for r in rows if max(r["p"]) == r["p"][2]]) < 0.9
+
+
+def test_no_labels_thin_nothing(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    assert mixing.keep_mixed(spark, docs, labels.limit(0), corpus_pipeline.TARGETS).count() == docs.count()
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "mix_sources", "bpe_encode"]
