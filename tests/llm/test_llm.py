@@ -305,6 +305,17 @@ def test_clean_documents_stay_at_every_mix(spark, shares):
     assert np.mean([r["rate"] for r in rows if max(r["p"]) == r["p"][2]]) < 0.9
 
 
+def test_rates_of_rare_domains_converge(spark):
+    scored = _scored(spark, (0.98, 0.01, 0.01))
+    rows = mixing.rates(scored, mixing.fit_rates(scored, corpus_pipeline.TARGETS, 1.0), 1.0).collect()
+    assert np.mean([r["rate"] for r in rows if max(r["p"]) == r["p"][2]]) < 0.02
+    rows = mixing.rates(scored, mixing.fit_rates(scored, mixing.TARGETS, 4.0), 4.0).collect()
+    sums = np.sum([np.array(r["p"]) * r["tokens"] * r["rate"] for r in rows], axis=0)
+    assert np.allclose(sums / sums.sum() / [0.95, 0.04, 0.01], 1, atol=0.02)
+    with pytest.warns(RuntimeWarning, match="haven't converged"):
+        mixing.fit_rates(scored, mixing.TARGETS, 4.0, steps=2)
+
+
 def test_no_labels_thin_nothing(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     assert mixing.keep_mixed(spark, docs, labels.limit(0), corpus_pipeline.TARGETS).count() == docs.count()
