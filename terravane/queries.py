@@ -325,10 +325,19 @@ def m13_checks(spark: SparkSession, d: str) -> DataFrame:
 r(n, c) as (select u, u from b union select v, c from r join b on u = n) select n as node, min(c) as component from r group by 1""")
 def g2_components(spark: SparkSession, d: str) -> DataFrame:
     """Components of a supplier and part graph."""
-    li = _t(spark, d, "lineitem").where("l_quantity >= 50")
+    return _components(spark, _t(spark, d, "lineitem").where("l_quantity >= 50"))
+
+
+def _components(spark, li) -> DataFrame:
     return graph.components(spark, li.select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v")))
 
 
+@query()
+def g2_components_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Components over all of lineitem, without SQL."""
+    return _components(spark, _t(spark, d, "lineitem"))
+
+
 def _roads(spark, d) -> DataFrame:
     li = _t(spark, d, "lineitem")
     return li.groupBy(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v")).agg(F.min("l_quantity").alias("mi")).withColumn("hr", F.col("mi") / 50)

@@ -115,3 +115,19 @@ def test_components(spark):
             label[u] = label[v] = low
     got = dict(map(tuple, graph.components(spark, spark.createDataFrame(edges, "u long, v long")).collect()))
     assert got == label
+
+
+def test_components_of_the_whole_graph(spark):
+    data = "/root/testdata/sf0.001"
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in spark.read.parquet(f"{data}/lineitem.parquet").select("l_suppkey", "l_partkey").collect():
+        low, high = sorted((find(u), find(v + 1000000)))
+        root[high] = low
+    got = {r["node"]: r["component"] for r in QUERIES["g2_components_whole"](spark, data).collect()}
+    assert got == {x: find(x) for x in root}
