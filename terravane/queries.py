@@ -230,11 +230,21 @@ def w9_three_nearest(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_PAIRS}, i as (select distinct l_suppkey as s_id, l_orderkey as o from lineitem where l_quantity > 45), best as (select c_id, o, min(mi) as mi from pairs join i using (s_id) where mi <= 120 group by 1, 2) select c_id, count(*) filter (where mi <= 30) as within_30, count(*) filter (where mi <= 60) as within_60, count(*) as within_120 from best group by 1")
 def a10_distinct_within(spark: SparkSession, d: str) -> DataFrame:
     """Different items within three bands."""
+    return _distinct_within(spark, d, _t(spark, d, "lineitem").where("l_quantity > 45"))
+
+
+def _distinct_within(spark, d, li) -> DataFrame:
     pairs = geo.radius_join(_points(spark, d, "c"), _points(spark, d, "s"), 120.0).select("c_id", "s_id", "mi")
-    items = _t(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("s_id"), F.col("l_orderkey").alias("o"))
+    items = li.select(F.col("l_suppkey").alias("s_id"), F.col("l_orderkey").alias("o"))
     return geo.distinct_within(pairs, "c_id", "mi", items, "s_id", "o", (30.0, 60.0, 120.0))
 
 
+@query(SQL["a10_distinct_within"].replace(" where l_quantity > 45", ""))
+def a10_distinct_within_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all of lineitem."""
+    return _distinct_within(spark, d, _t(spark, d, "lineitem"))
+
+
 @query("""select c_nationkey, round(degrees(atan2(sum(w * sin(radians(lat))), sqrt(pow(sum(w * cos(radians(lat)) * cos(radians(lon))), 2) + pow(sum(w * cos(radians(lat)) * sin(radians(lon))), 2)))), 6) as lat,
 round(degrees(atan2(sum(w * cos(radians(lat)) * sin(radians(lon))), sum(w * cos(radians(lat)) * cos(radians(lon))))), 6) as lon
 from (select c_nationkey, c_acctbal as w, 30 + (c_custkey * 7919 % 1500) / 100.0 as lat, -100 + (c_custkey * 104729 % 3000) / 100.0 as lon from customer where c_acctbal > 0) group by 1""")
@@ -407,16 +417,36 @@ def m14_search(spark: SparkSession, d: str) -> DataFrame:
 select c_id, count(distinct l_orderkey) as items from h join lineitem on l_suppkey = s_id where floor(mi + 0.5) <= 50 and l_quantity > 48 group by 1""")
 def g21_finder(spark: SparkSession, d: str) -> DataFrame:
     """Different items within 50 miles, 1.2 times the great-circle distance, rounded."""
+    return _finder(spark, d, _t(spark, d, "lineitem").where("l_quantity > 48"))
+
+
+def _finder(spark, d, li) -> DataFrame:
     pairs = geo.radius_join(_points(spark, d, "c"), _points(spark, d, "s"), 44.0, geo.haversine).where(F.floor(F.col("mi") * 1.2 + 0.5) <= 50)
-    items = _t(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_suppkey").alias("s_id"), "l_orderkey")
+    items = li.select(F.col("l_suppkey").alias("s_id"), "l_orderkey").distinct()
     return pairs.select("c_id", "s_id").join(items, "s_id").groupBy("c_id").agg(F.count_distinct("l_orderkey").alias("items"))
 
 
+@query(SQL["g21_finder"].replace(" and l_quantity > 48", ""))
+def g21_finder_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all of lineitem."""
+    return _finder(spark, d, _t(spark, d, "lineitem"))
+
+
 @query("""select o_orderkey, case o_orderstatus when 'F' then 'done' when 'O' then 'open' else 'other' end as label from orders where o_totalprice > 450000""")
 def p3_code_map(spark: SparkSession, d: str) -> DataFrame:
     """Codes mapped with a default."""
+    return _labels(_t(spark, d, "orders").where("o_totalprice > 450000"))
+
+
+def _labels(orders) -> DataFrame:
     known = F.create_map(F.lit("F"), F.lit("done"), F.lit("O"), F.lit("open"))
-    return _t(spark, d, "orders").where("o_totalprice > 450000").select("o_orderkey", F.coalesce(known[F.col("o_orderstatus")], F.lit("other")).alias("label"))
+    return orders.select("o_orderkey", F.coalesce(known[F.col("o_orderstatus")], F.lit("other")).alias("label"))
+
+
+@query(SQL["p3_code_map"].replace(" where o_totalprice > 450000", ""))
+def p3_code_map_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all orders."""
+    return _labels(_t(spark, d, "orders"))
 
 
 #: A concave shape with a hole around each nation's centre: offsets of its points by ring.

@@ -131,3 +131,11 @@ def test_components_of_the_whole_graph(spark):
         root[high] = low
     got = {r["node"]: r["component"] for r in QUERIES["g2_components_whole"](spark, data).collect()}
     assert got == {x: find(x) for x in root}
+
+
+def test_whole_queries_take_every_row(spark):
+    data = "/root/testdata/sf0.001"
+    assert QUERIES["p3_code_map_whole"](spark, data).count() == spark.read.parquet(f"{data}/orders.parquet").count()
+    for name, column in (("g21_finder", "items"), ("a10_distinct_within", "within_120")):
+        few, all_rows = ({r["c_id"]: r[column] for r in QUERIES[n](spark, data).collect()} for n in (name, f"{name}_whole"))
+        assert few.keys() <= all_rows.keys() and sum(all_rows.values()) > 2 * sum(few.values()) > 0
