@@ -1,7 +1,7 @@
 """WARC records as a chunked table.
 
-A record's bytes - header block, payload, end - are cut into rows (archive, record_id, chunk, chunks, at,
-data, sha1): no row holds more than ``CHUNK`` bytes, and sha1 is the digest of the payload up to and with
+A record's bytes - header block, payload, end - are cut into rows (archive, record, page_id, chunk, chunks, at,
+data, sha1), record being its number in the archive: no row holds more than ``CHUNK`` bytes, and sha1 is the digest of the payload up to and with
 that row, so a reader knows at each row whether all is well so far. The rows of an archive, in order, are a
 WARC/1.1 file. A record is written and read by a generator that holds a chunk and a running digest, not the
 record. Of records with equal payloads that of the smallest id is a ``response``; the others are ``revisit``
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 CHUNK = 1 << 18
-SCHEMA = "archive int, record_id long, chunk int, chunks int, at long, data binary, sha1 string"
+SCHEMA = "archive int, record long, page_id long, chunk int, chunks int, at long, data binary, sha1 string"
+#: Stands for a null page_id in a record's URN.
+NO_ID = "none"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Rows and bytes of a batch between Spark and Python.
 ROWS, BYTES = 500, 8 << 20
@@ -33,25 +35,26 @@ def base32(hexdigest: str) -> str:
 
 
 def decide(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, digest, refers_to): refers_to is the first record of equal payload if there is one before.
+    """(page_id, digest, refers_to), different rows: refers_to is the first record of equal payload if there is one before.
 
-    Payloads are told apart by SHA-1 and length; those of fewer than ``least`` bytes are all responses.
-    Only digests are shuffled, and the copies of one payload are reduced to their first before that.
+    Payloads are told apart by SHA-1 and length; those of fewer than ``least`` bytes are all responses, and so are
+    those of a null page_id, which comes in no order. Only digests are shuffled, and the copies of one payload are
+    reduced to their first before that.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    rows = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
+    rows = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")).distinct()
     first = rows.groupBy("digest", "size").agg(F.min("page_id").alias("first"))
     again = (F.col("first") < F.col("page_id")) & (F.col("size") >= least)
     return rows.join(first, ["digest", "size"]).select("page_id", "digest", F.when(again, F.col("first")).alias("refers_to"))
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, when: str):
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, when: str):
     """The record's header block and its body: a revisit has none, but its payload's digest and length."""
-    kind = "response" if refers_to is None else "revisit"
+    kind, name = "response" if refers_to is None else "revisit", NO_ID if page_id is None else page_id
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{name}>",
         f"WARC-Date: {when}",
         f"WARC-Payload-Digest: sha1:{base32(digest)}",
         f"WARC-Payload-Length: {len(payload)}",
@@ -66,28 +69,28 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string())
-    names = ("archive", "record_id", "chunk", "chunks", "at", "data", "sha1")
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string())
+    names = ("archive", "record", "page_id", "chunk", "chunks", "at", "data", "sha1")
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], list(names))
 
 
 def write_chunks(pages: DataFrame, work: Workspace, least: int = 0, chunk: int = CHUNK, when: str = "2000-01-01T00:00:00Z", name: str = "chunks") -> DataFrame:
     """Write a record for each row of ``pages`` (page_id, url, html) and return the table of chunks.
 
-    Null html is an empty payload. page_id tells records apart: of rows of equal page_id and payload all are
-    written alike; null page_ids are refused, as a record needs an id.
+    Null html is an empty payload; a null page_id gives a response of its own kind of name. Repeated rows, and
+    rows of one page_id with different html, are all written: records are told apart by their number in the
+    archive that a task writes. Other columns of ``pages`` are ignored. An empty table gives an empty one.
     """
     from pyspark import TaskContext
 
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    own = own.withColumn("page_id", F.when(F.col("page_id").isNull(), F.raise_error(F.lit("a page needs a page_id"))).otherwise(F.col("page_id")))
-    # one row a page and digest: repeated rows must not multiply in the join
-    kinds = decide(own, least).distinct()
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
+    kinds = decide(own, least).select(F.col("page_id").alias("kind_id"), F.col("digest").alias("kind_digest"), "refers_to")
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    rows = own.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload")).join(kinds, ["page_id", "digest"])
+    rows = own.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    rows = rows.join(kinds, F.col("page_id").eqNullSafe(F.col("kind_id")) & (F.col("digest") == F.col("kind_digest")))
 
     def build(batches):
-        archive, out, held = TaskContext.get().partitionId(), [], 0
+        archive, number, out, held = TaskContext.get().partitionId(), 0, [], 0
         for b in batches:
             for page_id, digest, url, payload, refers_to in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist()):
                 body = memoryview(payload.as_buffer())
@@ -97,11 +100,12 @@ def write_chunks(pages: DataFrame, work: Workspace, least: int = 0, chunk: int =
                     part = body[k * chunk : (k + 1) * chunk]
                     running.update(part)
                     data = (head if k == 0 else b"") + bytes(part) + (b"\r\n\r\n" if k == n - 1 else b"")
-                    out.append((archive, page_id, k, n, k * chunk, data, running.hexdigest()))
+                    out.append((archive, number, page_id, k, n, k * chunk, data, running.hexdigest()))
                     held += len(data)
                     if len(out) >= ROWS or held >= BYTES:
                         yield _batch(out)
                         out, held = [], 0
+                number += 1
         if out:
             yield _batch(out)
 
@@ -116,14 +120,15 @@ def _header(data: bytes) -> tuple[dict[str, str], int]:
     return dict(x.split(": ", 1) for x in lines[1:]), end + 4
 
 
-def _id(urn: str) -> int:
-    return int(re.fullmatch(r"<urn:page:(-?\d+)>", urn)[1])
+def _id(urn: str) -> int | None:
+    name = re.fullmatch(rf"<urn:page:(-?\d+|{NO_ID})>", urn)[1]
+    return None if name == NO_ID else int(name)
 
 
 def parse(chunks) -> list[tuple]:
-    """Records of (record_id, chunk, chunks, data, sha1) in order, a chunk at a time, each digest checked."""
+    """Records of (record, chunk, chunks, data, sha1) in order, a chunk at a time, each digest checked."""
     out, head, running, left, size = [], {}, None, 0, 0
-    for record_id, chunk, n, data, sha1 in chunks:
+    for number, chunk, n, data, sha1 in chunks:
         if chunk == 0:
             head, at = _header(data)
             running, left, size = hashlib.sha1(), int(head["Content-Length"]), 0
@@ -132,13 +137,13 @@ def parse(chunks) -> list[tuple]:
         running.update(body)
         left, size = left - len(body), size + len(body)
         if running.hexdigest() != sha1:
-            raise ValueError(f"record {record_id} is damaged in chunk {chunk}")
+            raise ValueError(f"record {number} is damaged in chunk {chunk}")
         if chunk == n - 1:
             if left or bytes(data[len(body) :]) != b"\r\n\r\n":
-                raise ValueError(f"record {record_id} doesn't end where it should")
+                raise ValueError(f"record {number} doesn't end where it should")
             kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
             if kind == "response" and digest != base32(running.hexdigest()):
-                raise ValueError(f"record {record_id} hasn't the payload that its header tells")
+                raise ValueError(f"record {number} hasn't the payload that its header tells")
             length = size if kind == "response" else int(head["WARC-Payload-Length"])
             refers_to = _id(head["WARC-Refers-To"]) if kind == "revisit" else None
             out.append((_id(head["WARC-Record-ID"]), length, digest, kind, refers_to, head.get("WARC-Target-URI")))
@@ -164,9 +169,9 @@ def read_chunks(chunks: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*group), kinds)], names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
-    cols = ("record_id", "chunk", "chunks", "data", "sha1")
+    cols = ("record", "chunk", "chunks", "data", "sha1")
     single = chunks.where("chunks = 1").select(*cols).mapInArrow(work, schema)
-    longer = chunks.where("chunks > 1").repartition("archive", "record_id").sortWithinPartitions("archive", "record_id", "chunk")
+    longer = chunks.where("chunks > 1").repartition("archive", "record").sortWithinPartitions("archive", "record", "chunk")
     return single.unionByName(longer.select(*cols).mapInArrow(work, schema))
 
 
