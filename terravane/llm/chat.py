@@ -3,7 +3,8 @@
 Template: ``<s>`` opens a conversation; a run of turns of one role is a block ``[ROLE:name]`` text
 ``[/ROLE]``, turns inside it are parted by ``<turn>``, and blocks of the loss role end with ``</s>``. No
 other control string is written. In texts and role names backslash, ``[`` and ``<`` are escaped as two
-backslashes, ``\\(`` and ``\\{``, so that no text holds a control string and each can be read back.
+backslashes, ``\\(`` and ``\\{``, in role names ``]`` as ``\\)`` too, so that no text holds a control string and
+each can be read back.
 """
 
 from __future__ import annotations
@@ -21,10 +22,14 @@ def escape(column):
     return F.replace(F.replace(out, F.lit("["), F.lit("\\(")), F.lit("<"), F.lit("\\{"))
 
 
+def escape_role(column):
+    return F.replace(escape(column), F.lit("]"), F.lit("\\)"))
+
+
 def unescape(column):
     """Escaped text back: pairs of backslashes, taken from the left, part it; within the parts only escapes are left."""
     parts = F.split(column, r"\\\\")
-    return F.array_join(F.transform(parts, lambda x: F.replace(F.replace(x, F.lit("\\("), F.lit("[")), F.lit("\\{"), F.lit("<"))), "\\")
+    return F.array_join(F.transform(parts, lambda x: F.replace(F.replace(F.replace(x, F.lit("\\("), F.lit("[")), F.lit("\\{"), F.lit("<")), F.lit("\\)"), F.lit("]"))), "\\")
 
 
 def format_conversations(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
@@ -38,19 +43,28 @@ def format_conversations(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFr
     """
     rows = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit(NULL_ROLE)).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("x"))
     sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    # a turn's markup depends on its neighbours' roles only: merging is a look to either side
+    # merged: a block for each run of turns of one role, with the array of its texts
     n = F.size("xs")
+    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("xs", i - 1)["role"] != F.get("xs", i)["role"]))
+    found = sorted_turns.select("conv_id", "xs", begins.alias("begins"))
+
+    def block(at, k):
+        own = F.slice("xs", at + 1, F.coalesce(F.get("begins", k + 1), n) - at)
+        return F.struct(F.get("xs", at)["role"].alias("role"), F.transform(own, lambda x: escape(x["text"])).alias("texts"))
+
+    blocks = found.select("conv_id", F.transform("begins", block).alias("blocks"))
+
+    def written(b):
+        end = F.when(b["role"] == loss_role, F.lit(CLOSE + END)).otherwise(F.lit(CLOSE))
+        return F.concat(F.lit(BLOCK), escape_role(b["role"]), F.lit(NAMED), F.array_join(b["texts"], BREAK), end)
 
-    def piece(x, i):
-        first = (i == 0) | (F.get("xs", i - 1)["role"] != x["role"])
-        last = (i == n - 1) | (F.get("xs", i + 1)["role"] != x["role"])
-        before = F.when(first, F.concat(F.lit(BLOCK), escape(x["role"]), F.lit(NAMED))).otherwise(F.lit(BREAK))
-        after = F.when(last, F.concat(F.lit(CLOSE), F.when(x["role"] == loss_role, F.lit(END)).otherwise(F.lit("")))).otherwise(F.lit(""))
-        return F.struct(before.alias("before"), escape(x["text"]).alias("text"), after.alias("after"), (x["role"] == loss_role).alias("loss"))
+    def sizes(b):
+        lost, last = b["role"] == loss_role, F.size(b["texts"]) - 1
+        opened = F.octet_length(escape_role(b["role"])) + len(BLOCK + NAMED)
+        closed = F.when(lost, F.lit(len(CLOSE + END))).otherwise(F.lit(len(CLOSE)))
+        return F.transform(b["texts"], lambda t, i: F.struct(F.when(i == 0, opened).otherwise(F.lit(len(BREAK))).alias("b"), F.octet_length(t).alias("t"), F.when(i == last, closed).otherwise(F.lit(0)).alias("a"), lost.alias("loss")))
 
-    pieces = sorted_turns.select("conv_id", F.transform("xs", piece).alias("ps"))
-    sizes = pieces.select("conv_id", "ps", F.transform("ps", lambda p: F.struct(F.octet_length(p["before"]).alias("b"), F.octet_length(p["text"]).alias("t"), F.octet_length(p["after"]).alias("a"), p["loss"].alias("loss"))).alias("ss"))
-    return sizes.select("conv_id", F.concat(F.lit(OPEN), F.array_join(F.flatten(F.transform("ps", lambda p: F.array(p["before"], p["text"], p["after"]))), "")).alias("formatted"), "ss")
+    return blocks.select("conv_id", F.concat(F.lit(OPEN), F.array_join(F.transform("blocks", written), "")).alias("formatted"), F.flatten(F.transform("blocks", sizes)).alias("ss"))
 
 
 def with_loss(formatted: DataFrame) -> DataFrame:
