@@ -9,7 +9,6 @@ a document's language is that of the largest mean posterior, which is its score.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 
@@ -22,8 +21,7 @@ from .common import crc32_of, held, slices
 
 BITS = 15
 NONE = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-
+RUN = 12  # words that a chain of training takes from one text
 
 START, STOP = "\x02", "\x03"
 
@@ -99,20 +97,27 @@ def forward_backward(emission: np.ndarray, lengths: np.ndarray, moves: np.ndarra
     return posterior
 
 
-def train(rows: list[tuple[str, str]], words: int = 160_000, steps: int = 60, seed: int = 7) -> Model | None:
-    """A model of (text, language) rows; ``words`` bounds the words used, taken in turn from the rows.
+def draw_runs(text: str, words: int) -> list[list[str]]:
+    """Runs of ``RUN`` neighbouring words from anywhere in a text, of about ``words`` words in all: those of smallest hash."""
+    own = text.split()
+    runs = [own[i : i + RUN] for i in range(0, len(own), RUN)]
+    most = max(2, words // RUN)
+    if len(runs) > most:
+        kept = sorted(range(len(runs)), key=lambda i: (zlib.crc32(f"{i} {' '.join(runs[i])}".encode()), i))[:most]
+        runs = [runs[i] for i in sorted(kept)]
+    return runs
+
+
+def train(found: list[tuple[str, list[str]]], steps: int = 60, seed: int = 7) -> Model | None:
+    """A model of (language, run of words) of texts that have one language each.
 
-    Rows have one language each. So that moves between languages are learned too, chains are made of
-    runs of 12 words of different rows.
+    So that moves between languages are learned too, chains are made of runs of different texts. The sample must
+    come in an order of its own, as the chains follow from it.
     """
-    languages = sorted({lang for _, lang in rows})
+    languages = sorted({lang for lang, _ in found})
     if not languages:
         return None
-    runs: list[tuple[int, list[str]]] = []
-    share = max(24, words // max(1, len(rows)))
-    for text, lang in rows:
-        own = text.split()[:share]
-        runs += [(languages.index(lang), own[i : i + 12]) for i in range(0, len(own), 12)]
+    runs: list[tuple[int, list[str]]] = [(languages.index(lang), run) for lang, run in found]
     rng = np.random.default_rng(seed)
     runs = [runs[i] for i in rng.permutation(len(runs))]
     tokens = [w for _, r in runs for w in r]
@@ -163,19 +168,29 @@ def held_out():
     return crc32_of(F.col("doc_id")) % 5 == 0
 
 
-def fit(docs: DataFrame, train_rows: int = 1500) -> Model | None:
+def fit(docs: DataFrame, train_rows: int = 1500, words: int = 160_000) -> Model | None:
     """A model learned from at most ``train_rows`` rows with text and language that aren't held out.
 
-    They are those of smallest hash of doc_id, so the sample is the same whatever the partitions. Only
-    text and lang are used.
+    They are those of smallest hash of doc_id, ties by language and text, so the sample is the same whatever the
+    partitions. Of each row runs of words are drawn by hash from all of its text, about ``words`` words in all, where
+    the text lies: only these come to the driver. Only text and lang are used.
     """
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     ids = rows.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(train_rows)
-    last = ids.agg(F.max("h")).head()[0]
+    last, n = ids.agg(F.max("h"), F.count(F.lit(1))).head()
     if last is None:
         return None
+    share = words // n
     sample = rows.where(F.xxhash64("doc_id") <= last).orderBy(F.xxhash64("doc_id"), "lang", F.xxhash64("text")).limit(train_rows).select("text", "lang")
-    return train([(r[0], r[1]) for r in sample.collect()])
+
+    def work(batches):
+        for b in batches:
+            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                runs = draw_runs(text, share)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(runs), pa.string()), pa.array(runs, pa.list_(pa.string()))], ["lang", "run"])
+
+    drawn = sample.mapInArrow(work, "lang string, run array<string>").collect()  # ``words`` words, or two runs a row
+    return train(sorted((r[0], list(r[1])) for r in drawn))
 
 
 def _predictor(model: Model):
@@ -205,7 +220,7 @@ def _make_predictor(model: Model, most: int = 250_000, words_at_once: int = 200_
         chains, counts, words = [], [], []
         for t in texts:
             n = 0
-            if t and _LETTER.search(t):
+            if t and any(map(str.isalpha, t)):
                 for line in t.split("\n"):
                     own = line.split()
                     if own:
@@ -242,8 +257,9 @@ def _make_predictor(model: Model, most: int = 250_000, words_at_once: int = 200_
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row's whole text.
 
-    ``und`` with score 0 where text is null or has no letter, or where there was nothing to learn from.
-    doc_id is carried along only.
+    ``und`` with score 0 where text is null or has no letter (``str.isalpha``), or where there was nothing to learn
+    from. Of languages that are as likely the first in order is told. doc_id is carried along only: repeated rows and
+    null doc_ids come out as they came in. An empty table gives an empty result.
     """
 
     def work(batches):
