@@ -99,25 +99,39 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
     return gone.groupBy(*KEY).agg(F.collect_set("line").alias("gone"))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many ``_`` after it as it takes to clash with no column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def delete_repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with n_lines, n_deleted (non-blank lines of the input) and the text without later copies.
 
     Copies of a run of whole lines, of ``min_words`` words or more, go everywhere but at their first place
     in (doc_id, text hash, line) order, within a document too. Blank lines stay, and so do shorter runs. A
     null text stays null with 0 lines; an empty text has none. Rows equal in doc_id and text are one
-    document: all keep the same lines. A null doc_id sorts first. Other columns are carried along.
+    document: all keep the same lines. A null doc_id sorts first. Other columns are carried along; where ``docs`` has
+    columns n_lines or n_deleted, the new ones are named as ``free_name`` tells. An empty table gives an empty result.
     """
     gone = repeated_lines(spark, docs, min_words)
-    marked = docs.withColumn("__th", F.xxhash64("text"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"), F.col("gone").alias("__gone"))
+    own = docs.select(F.struct("*").alias("own"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_h"), F.sort_array("gone").alias("gone"))
     # a row a document at most, far smaller than the texts beside it: hashed, so that texts aren't sorted
-    joined = marked.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
-    every = F.split("text", "\n")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(every, lambda x: x.rlike(r"\S"))))
-    kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    out = joined.withColumn("n_lines", n_lines).withColumn("n_deleted", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")))
-    out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-    return out.drop("__th", "__id", "__h", "__gone")
+    joined = own.join(gone.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left")
+    lines = joined.select("own", F.col("own.text").alias("text"), "gone", F.split("own.text", "\n").alias("lines"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter("lines", lambda x: x.rlike(r"\S"))))
+
+    def between(k):  # the lines between two that go
+        first = F.coalesce(F.get("gone", k - 1) + 2, F.lit(1))
+        return F.slice("lines", first, F.coalesce(F.get("gone", k), F.size("lines")) - first + 1)
+
+    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone")), between)), "\n")
+    n_deleted = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    return lines.select(*(text.alias(c) if c == "text" else F.col("own")[c].alias(c) for c in docs.columns), n_lines.alias(free_name(docs, "n_lines")), n_deleted.alias(free_name(docs, "n_deleted")))
 
 
 def op9_line_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
