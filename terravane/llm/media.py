@@ -8,6 +8,7 @@ media further in are carved (offset, length, type). A hit inside a medium that w
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 import zlib
@@ -31,7 +32,7 @@ def wav8(samples: bytes) -> bytes:
     return head + samples + bytes(pad)
 
 
-def _riff(data, at: int):
+def _riff(data, at: int, marks=None):
     """(length, samples' start, samples' length) of a WAVE file at a place."""
     if len(data) < at + 12 or data[at + 8 : at + 12] != b"WAVE":
         return None
@@ -51,7 +52,7 @@ def _riff(data, at: int):
     return (end - at, *samples) if known and samples and p == end else None
 
 
-def _png(data, at: int):
+def _png(data, at: int, marks=None):
     p = at + 8
     while p + 12 <= len(data):
         size, kind = struct.unpack_from(">I", data, p)[0], bytes(data[p + 4 : p + 8])
@@ -65,7 +66,7 @@ def _png(data, at: int):
     return None
 
 
-def _gif(data, at: int):
+def _gif(data, at: int, marks=None):
     def blocks(p):
         while p < len(data) and data[p]:
             p += 1 + data[p]
@@ -86,7 +87,7 @@ def _gif(data, at: int):
     return None
 
 
-def _jpeg(data, at: int):
+def _jpeg(data, at: int, marks=None):
     p = at + 2
     while p + 4 <= len(data):
         if data[p] != 0xFF:
@@ -109,22 +110,48 @@ def _jpeg(data, at: int):
     return (p + 2 - at,) if data[p : p + 2] == b"\xff\xd9" else None
 
 
-def _pdf(data, at: int):
-    end = data.find(b"%%EOF", at)
-    return (end + 5 - at,) if end >= 0 and data.find(b"startxref", at, end) >= 0 else None
+class _Marks:
+    """Places of end marks in a value, each kind searched for once, however many beginnings there are."""
 
+    def __init__(self, data: bytes):
+        self.data, self.places = data, {}
 
-def _zip(data, at: int):
-    end = data.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(data):
-        size, start, comment = struct.unpack_from("<IIH", data, end + 12)
-        if at + start + size == end and end + 22 + comment <= len(data) and (size == 0 or data[at + start : at + start + 4] == b"PK\x01\x02"):
-            return (end + 22 + comment - at,)
-        end = data.find(b"PK\x05\x06", end + 4)
-    return None
+    def of(self, mark: bytes) -> list[int]:
+        if mark not in self.places:
+            out, at = [], self.data.find(mark)
+            while at >= 0:
+                out.append(at)
+                at = self.data.find(mark, at + 1)
+            self.places[mark] = out
+        return self.places[mark]
+
+    def first(self, mark: bytes, at: int) -> int:
+        """The first place from ``at`` on, or -1."""
+        own = self.of(mark)
+        k = bisect.bisect_left(own, at)
+        return own[k] if k < len(own) else -1
+
+
+def _pdf(data, at: int, marks: _Marks):
+    end, near = marks.first(b"%%EOF", at), marks.first(b"startxref", at)
+    return (end + 5 - at,) if 0 <= near < end else None
+
+
+def _zip(data, at: int, marks: _Marks):
+    """By its end record, which tells where the directory begins, counted from the archive's start."""
+    ends = marks.places.get("zip")
+    if ends is None:  # by start of the archive: its end records
+        ends = marks.places["zip"] = {}
+        for end in marks.of(b"PK\x05\x06"):
+            if end + 22 <= len(data):
+                size, start, comment = struct.unpack_from("<IIH", data, end + 12)
+                first = end - size - start
+                if first >= 0 and end + 22 + comment <= len(data) and (size == 0 or data[first + start : first + start + 4] == b"PK\x01\x02"):
+                    ends.setdefault(first, end + 22 + comment)
+    return (ends[at] - at,) if at in ends else None
 
 
-def _gzip(data, at: int):
+def _gzip(data, at: int, marks=None):
     machine, p = zlib.decompressobj(31), at
     try:
         while p < len(data) and not machine.eof:
@@ -135,7 +162,7 @@ def _gzip(data, at: int):
     return (min(p, len(data)) - len(machine.unused_data) - at,) if machine.eof else None
 
 
-def _bmp(data, at: int):
+def _bmp(data, at: int, marks=None):
     if len(data) < at + 26:
         return None
     size, _, pixels, head = struct.unpack_from("<IIII", data, at + 2)
@@ -172,9 +199,9 @@ class Sniffer:
     def media(self, data: bytes) -> list[tuple]:
         """(offset, length, type, ...) of validated media that don't lie in another, by offset."""
         hits = sorted((end - len(self.formats[k][0]) + 1, k) for end, k in self.machine.iter(data.decode("latin-1")))
-        out, free = [], 0
+        out, free, marks = [], 0, _Marks(data)
         for at, k in hits:
-            if at >= free and (found := self.formats[k][2](data, at)) is not None:
+            if at >= free and (found := self.formats[k][2](data, at, marks)) is not None:
                 out.append((at, found[0], self.formats[k][1], *found[1:]))
                 free = at + found[0]
         return out
