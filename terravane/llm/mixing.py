@@ -114,15 +114,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 3000) -> Classifie
 
 
 def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """(doc_id, tokens, p array<double>) of each row's whole text. Null text is empty: no tokens."""
+    """(doc_id, row, tokens, p array<double>) of each row's whole text; row is its xxhash64. Null text is empty: no tokens."""
 
     def work(batches):
         for b in slices(batches):
-            found = [classifier.posteriors(t) for t in b.column(1).to_pylist()]
+            found = [classifier.posteriors(t) for t in b.column(2).to_pylist()]
             p = pa.array([x[1].tolist() for x in found], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.int64()), p], ["doc_id", "tokens", "p"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.int64()), p], ["doc_id", "row", "tokens", "p"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, tokens long, p array<double>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInArrow(work, "doc_id long, row long, tokens long, p array<double>")
 
 
 def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -215,11 +215,12 @@ def rates(scored: DataFrame, gaps: np.ndarray, max_rate: float, bounds: bool = F
             _, p = _arrays(b)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_replay(p, gaps, max_rate, bounds)[0], pa.float64())], [*b.schema.names, "rate"])
 
-    return scored.mapInArrow(work, "doc_id long, tokens long, p array<double>, rate double")
+    kinds = ", ".join(f"{c} {t}" for c, t in scored.dtypes)
+    return scored.mapInArrow(work, f"{kinds}, rate double")
 
 
 def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = 4.0, bounds: bool = False) -> DataFrame:
-    """(doc_id, tokens, p, rate, copies) of each row: how often it is to be used in expectation, and how often it is.
+    """(doc_id, row, tokens, p, rate, copies) of each row: how often it is to be used in expectation, and how often it is.
 
     copies rounds rate up or down by a hash of doc_id, so it keeps the expectation. Empty texts have no
     tokens, and rates of their posteriors like others. With no labels all domains are equally likely. An
@@ -236,11 +237,12 @@ def keep_mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets:
     """``docs`` without the low-quality and toxic text beyond its share: rates of 1 at most, rows of no copy go, others stay once.
 
     The shares of low and toxic are upper bounds, so rows that are likeliest clean stay at every mix, and with
-    no labels all do. Rows are told apart by doc_id; null doc_ids stay.
+    no labels all do. Rows are told apart by doc_id and text; null doc_ids stay.
     """
     mixed = mix(spark, docs, labels, targets, max_rate=1.0, bounds=True)
-    gone = mixed.where("copies = 0").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = mixed.where("copies = 0").select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct()
+    own = docs.select(F.struct("*").alias("own"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row"))
+    return own.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left_anti").select("own.*")
 
 
 def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
