@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -13,12 +15,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in local
-    tests, a temporary folder of this process is named.
+    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset and the master is
+    local, as in tests, a temporary folder of this process is named; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="terravane-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -67,11 +71,37 @@ _HELD: dict = {}
 def held(key, make):
     """What a worker process keeps between tasks, of one operator at a time: another's makes room."""
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            give_back()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def give_back() -> None:
+    """Free memory of this worker process goes back to the machine; allocators keep it otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+@contextlib.contextmanager
+def no_cycles():
+    """Without the collector of reference cycles, where very many objects are made and none of them form cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def slices(batches, rows: int = 1000):
     """Record batches of so many rows at most, without copies."""
     for b in batches:

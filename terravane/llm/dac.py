@@ -6,17 +6,18 @@ bitmap beside each level but the last tells which ids go on, and a rank director
 bits before every 512th bit, so that one id is reached by a look at each level: no block is decoded.
 
 Shard (little-endian): magic ``DAC1``, u32 levels, u64 ids, u64 documents; for each level u64 entries and,
-but for the last, u64 bitmap bytes; doc_id i64 of every document; first id u64 of every document and the
-number of ids; then each level's chunks, its bitmap and its directory (u64 each). Shards are the rows of a
+but for the last, u64 bitmap bytes; doc_id i64 of every document; a byte of every document, 1 where it has no
+doc_id; first id u64 of every document and the number of ids; then each level's chunks, its bitmap and its
+directory (u64 each). Shards are the rows of a
 table, one binary value each, which Spark commits as a whole: a lost executor's shards are written again.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_path
-from .common import Workspace, held
+from .common import Workspace, held, no_cycles
+from .pieces import END, HEAD, SIMPLE, Cutter, blocks, joined
 
 MAGIC = b"DAC1"
 EVERY = 512  # bits a rank entry
 END_ID = 2
 
 
-def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """A shard of documents, counts[i] ids each, all ids in order."""
+def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, none: np.ndarray | None = None) -> bytes:
+    """A shard of documents, counts[i] ids each, all ids in order; none: which documents have no doc_id."""
     doc_ids, counts, ids = np.asarray(doc_ids, "<i8"), np.asarray(counts, np.int64), np.asarray(ids, np.uint32)
     parts, heads, rest = [], [], ids
     while True:
@@ -50,7 +52,8 @@ def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
         rest = rest[on]
     first = np.concatenate([[0], np.cumsum(counts)]).astype("<u8")
     head = MAGIC + struct.pack("<IQQ", len(heads), len(ids), len(doc_ids)) + b"".join(struct.pack("<QQ", *h) for h in heads)
-    return b"".join([head, doc_ids.tobytes(), first.tobytes(), *parts])
+    flags = np.zeros(len(doc_ids), np.uint8) if none is None else np.asarray(none, np.uint8)
+    return b"".join([head, doc_ids.tobytes(), flags.tobytes(), first.tobytes(), *parts])
 
 
 class Shard:
@@ -70,7 +73,8 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.doc_ids, self.first = take("<i8", self.n_docs), take("<u8", self.n_docs + 1).astype(np.int64)
+        self.doc_ids, self.none = take("<i8", self.n_docs), take("u1", self.n_docs).astype(bool)
+        self.first = take("<u8", self.n_docs + 1).astype(np.int64)
         self.levels = []
         for entries, size in heads:
             chunk = take("u1", entries)
@@ -117,166 +121,191 @@ class Shard:
 class LibraryEncoder:
     """The tokenizers library, asked once for each piece of text that it splits off anyway.
 
-    A blank after a non-blank always begins a new pre-token, so texts are cut there and the pieces' ids
-    remembered, by the piece without its blank. When the table is full, its entries become the old ones,
-    which stay while they are used. New pieces of a batch are encoded together in one call; the bytes of
-    each token tell where one piece's ids end. Texts with blank runs at a cut go to the library whole.
+    Pieces (``pieces.Cutter``) and their ids are remembered. When the table is full, its entries become the old
+    ones, which stay while they are used. A word of letters is one pre-token, so the library's model is asked
+    for it without the splitting before; marks after it are another. Other new pieces go to the whole library
+    together in one call, where the bytes of each token tell where one piece's ids end. Texts that can't be cut
+    go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
-        from .bpe import Vocabulary
+        from .bpe import Vocabulary, byte_alphabet
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library, self.most = Tokenizer.from_file(path), most
         self.library.no_padding()
         self.library.no_truncation()
+        self.model = self.library.model
         vocabulary = Vocabulary(path)
-        self.added = tuple(vocabulary.added)
+        self.cutter = Cutter(vocabulary.added)
         self.size = np.zeros(max(vocabulary.decoded) + 1, np.int64)
         for i, b in vocabulary.decoded.items():
             self.size[i] = len(b)
         self.width = 2 if len(self.size) <= 1 << 16 else 4
-        self.odd = re.compile(r" (?:\s|\Z)").search
-        self.marks = dict(zip(",.", self._ask([",", "."])))
+        character = {b: c for c, b in byte_alphabet().items()}
+        self.character, self.blank, self.feed = str.maketrans({chr(b): c for b, c in character.items()}), character[0x20], character[0x0A]
+        self.line, self.end = self._ask(["\n"])[0], np.array([END_ID], f"<u{self.width}").tobytes()
+        self.marks: dict[str, bytes] = {"": b""}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.bases: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ask_model(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, with or without a blank before them."""
+        spelt = "\n".join(words).encode().decode("latin-1").translate(self.character).split(self.feed)
+        found = [[t.id for t in x] for x in map(self.model.tokenize, spelt)]
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) * self.width).tolist()
+        raw = np.fromiter(chain.from_iterable(found), f"<u{self.width}").tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _together(self, bodies: list[str], sep: str) -> list[bytes]:
+        """Ids of pieces that don't end in white space, each with ``sep`` before it, asked as one text."""
+        out: list[bytes] = []
+        for at in range(0, len(bodies), 20_000):
+            text = sep + sep.join(bodies[at : at + 20_000])
+            raw = self._ask([text])[0]
+            data = np.frombuffer(text.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(data == ord(sep))[1:], len(data))
+            stop = ((np.searchsorted(np.cumsum(self.size[np.frombuffer(raw, f"<u{self.width}")]), ends) + 1) * self.width).tolist()
+            out += [raw[a:b] for a, b in zip([0, *stop], stop)]
+        return out
+
     def _learn(self, new: list[str]) -> None:
-        old, known, width = self.old.get, self.known, self.width
-        apart, tails, whole = [], [], set()
+        known, old = self.known, self.old.get
+        simple: list[tuple[str, str, str, str]] = []
+        others: dict[str, list[tuple[str, str]]] = {" ": [], "\n": [], "": []}
         for p in new:
             if (b := old(p)) is not None:
                 known[p] = b
-            elif not p or p[-1].isspace():  # mustn't stand before another blank
-                apart.append(p)
-            elif p[-1] in ",." and p[-2:-1].isalpha():  # a comma or full stop after a letter is a pre-token of its own
-                tails.append(p)
-                if (base := p[:-1]) not in known:
-                    whole.add(base)
+            elif p == END:
+                known[p] = self.end
             else:
-                whole.add(p)
-        known.update(zip(apart, self._ask([" " + p for p in apart])))
-        joint = list(whole)
-        for at in range(0, len(joint), 20_000):
-            part = joint[at : at + 20_000]
-            text = " " + " ".join(part)
-            raw = self._ask([text])[0]
-            data = np.frombuffer(text.encode(), np.uint8)
-            ends = np.append(np.flatnonzero(data == 0x20)[1:], len(data))  # a blank before each piece and none inside
-            stop = ((np.searchsorted(np.cumsum(self.size[np.frombuffer(raw, f"<u{width}")]), ends) + 1) * width).tolist()
-            known.update(zip(part, [raw[a:b] for a, b in zip([0, *stop], stop)]))
-        marks = self.marks
-        known.update([(p, known[p[:-1]] + marks[p[-1]]) for p in tails])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, as little-endian numbers of ``width`` bytes."""
-        plain = [None if not t or self.odd(t) or any(s in t for s in self.added) else t.split(" ") for t in texts]
-        heads = self._ask([p[0] if p else t for p, t in zip(plain, texts)])
+                lead, body = ("", p[1:]) if p[0] == HEAD else ("\n", p[1:]) if p[0] == "\n" else (" ", p)
+                if not body:
+                    known[p] = self.line if lead else b""
+                elif m := SIMPLE(body):
+                    simple.append((p, lead, " " + m[1] if lead == " " else m[1], m[2]))
+                else:
+                    others["" if not lead or body[-1].isspace() else lead].append((p, body if not lead else lead + body))
+        words = list({x[2] for x in simple}.difference(self.bases))
+        if len(self.bases) + len(words) > self.most:
+            self.bases = {}
+            words = list({x[2] for x in simple})
+        self.bases.update(zip(words, self._ask_model(words) if words else []))
+        marks = list({x[3] for x in simple}.difference(self.marks))
+        if len(self.marks) + len(marks) > self.most:
+            self.marks = {"": b""}
+            marks = list({x[3] for x in simple} - {""})
+        self.marks.update(zip(marks, self._ask(marks)))
+        bases, marks = self.bases, self.marks
+        known.update([(p, (self.line if lead == "\n" else b"") + bases[word] + marks[tail]) for p, lead, word, tail in simple])
+        for lead in (" ", "\n"):
+            known.update(zip([p for p, _ in others[lead]], self._together([t[1:] for _, t in others[lead]], lead)))
+        known.update(zip([p for p, _ in others[""]], self._ask([t for _, t in others[""]])))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text with its end id, all ids in order)."""
+        odd, different, indices, offsets = self.cutter.cut(texts)
         if len(self.known) > self.most:
             self.old, self.known = self.known, {}
-        new: set[str] = set()
-        for p in plain:
-            if p:
-                new.update(p[1:])
-        if new := new.difference(self.known):
-            self._learn(list(new))
-        known = self.known.__getitem__
-        return [h if p is None else h + b"".join(map(known, p[1:])) for h, p in zip(heads, plain)]
+        pieces = different.to_pylist()
+        known = self.known
+        with no_cycles():
+            if new := [p for p in pieces if p not in known]:
+                self._learn(new)
+        at, data = joined(list(map(known.__getitem__, pieces)), indices, offsets)
+        counts, ids = np.diff(at) // self.width, np.frombuffer(data, f"<u{self.width}", int(at[-1]) // self.width)
+        if odd.any():
+            rows = np.flatnonzero(odd)
+            whole = [np.frombuffer(x, ids.dtype) for x in self._ask(texts.take(pa.array(rows)).to_pylist())]
+            starts = at[rows] // self.width  # an odd text has its end id only up to here
+            counts[rows] += np.fromiter(map(len, whole), np.int64, len(whole))
+            cuts = np.split(ids, starts)
+            ids = np.concatenate([cuts[0], *(x for pair in zip(whole, cuts[1:]) for x in pair)])
+        return counts, ids
 
 
 def _library(path: str) -> LibraryEncoder:
     return held(("library", path), lambda: LibraryEncoder(path))
 
 
-def _bucket(column, bounds: list[int]):
-    """How many of the sorted bounds are below a value: a look at every so-manieth, then within them."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    lit = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
-    coarse = F.size(F.filter(lit([p[-1] for p in parts]), lambda x: x < column))
-    fine = F.size(F.filter(F.coalesce(F.get(F.array(*map(lit, parts)), coarse), lit([]).cast("array<long>")), lambda x: x < column))
-    return F.when(column.isNull(), 0).otherwise(coarse * step + fine)
-
-
-def write_shards(docs: DataFrame, work: Workspace, path: str | None = None, docs_a_shard: int = 2048, name: str = "shards") -> DataFrame:
+def write_shards(docs: DataFrame, work: Workspace, path: str | None = None, docs_a_shard: int = 2048, ids_a_shard: int = 4 << 20, name: str = "shards") -> DataFrame:
     """Encode ``docs`` (doc_id, text), end each with id 2 and write shards in ascending doc_id order.
 
-    Returns the written table (shard, n_ids, data). Shards cover ranges of doc_id that hold about
-    ``docs_a_shard`` rows each; bounds come from quantiles of doc_id alone. Null text is empty; null
-    doc_ids come first; rows of equal doc_id lie side by side, ordered by their ids' bytes.
+    Returns the written table (part, number, n_ids, data); shards in order of (part, number) hold the documents
+    in order. Rows are dealt out by ranges of (doc_id, hash of text, row), so rows of one doc_id or of none don't
+    meet in one task; a task encodes its rows in order and cuts shards of at most ``docs_a_shard`` documents and,
+    but for single documents, about ``ids_a_shard`` ids. Null text is empty; null doc_ids come first.
     """
     file = path
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = max(1, -(-rows.select("doc_id").count() // docs_a_shard))
-    found = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 20 * n))).head()[0] if n > 1 else None
-    bounds = sorted(set(found or []))
-
-    def encode(batches):
-        own = _library(file or tokenizer_path())
-        end = np.array([END_ID], f"<u{own.width}").tobytes()
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                ids = [x + end for x in own.encode([t or "" for t in part.column(2).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    order = (F.asc_nulls_first("doc_id"), F.asc("h"), F.asc("row"))
 
     def build(batches):
-        own = None
+        from pyspark import TaskContext
 
-        def shard():
-            counts = np.fromiter((len(x) for x in ids), np.int64, len(ids)) // width
-            flat = np.frombuffer(b"".join(ids), f"<u{width}")
-            data = pack(doc_ids, counts, flat)
-            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([data], pa.binary())], ["shard", "n_ids", "data"])
+        own, part, number = _library(file or tokenizer_path()), TaskContext.get().partitionId(), 0
+        doc_ids, none, counts, ids, n_docs, n_ids = [], [], [], [], 0, 0
 
-        width, doc_ids, ids = _library(file or tokenizer_path()).width, [], []
-        for b in batches:
-            for s, d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if s != own and ids:
+        def shard():
+            data = pack(np.concatenate(doc_ids), np.concatenate(counts), np.concatenate(ids), np.concatenate(none))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([n_ids], pa.int64()), pa.array([data], pa.binary())], ["part", "number", "n_ids", "data"])
+
+        for b in blocks(batches, 1):
+            known, flat = own.encode(b.column(1))
+            ends = np.cumsum(known)
+            missing = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            names = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < len(names):
+                before = int(ends[at - 1]) if at else 0
+                upto = int(np.searchsorted(ends, before + ids_a_shard - n_ids, side="right"))
+                upto = min(max(upto, at if n_docs else at + 1), at + docs_a_shard - n_docs, len(names))
+                if upto > at:
+                    doc_ids.append(names[at:upto])
+                    none.append(missing[at:upto])
+                    counts.append(known[at:upto])
+                    ids.append(flat[before : int(ends[upto - 1])])
+                    n_docs, n_ids, at = n_docs + upto - at, n_ids + int(ends[upto - 1]) - before, upto
+                if at < len(names):
                     yield shard()
-                    doc_ids, ids = [], []
-                own = s
-                doc_ids.append(NULL_ID if d is None else d)
-                ids.append(x)
-        if ids:
+                    number += 1
+                    doc_ids, none, counts, ids, n_docs, n_ids = [], [], [], [], 0, 0
+        if n_docs:
             yield shard()
 
-    coded = rows.select(_bucket(F.col("doc_id"), bounds).alias("shard"), "doc_id", "text").mapInArrow(encode, "shard int, doc_id long, ids binary")
-    packed = coded.repartition("shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(build, "shard int, n_ids long, data binary")
-    return work.table(packed, name)
-
-
-#: Stands for a null doc_id in a shard.
-NULL_ID = -(1 << 63)
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return work.table(dealt.select("doc_id", "text").mapInArrow(build, "part int, number int, n_ids long, data binary"), name)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document of written shards, each read by its address.
 
-    start counts the ids of all documents before it, over shards in order.
+    start counts the ids of all documents before it: within a part by a running sum over its shards, before
+    that by the sums of parts, a row a writing task.
     """
     from pyspark.sql import Window
 
-    # one narrow row a shard
-    starts = shards.select("shard", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("shard", "base")
+    sums = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row a task of the writer
+    before = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("parts"))
+    own = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = shards.select("part", "number", own.alias("own")).join(before, "part").select("part", "number", (F.col("own") + F.col("parts")).alias("base"))
 
     def work(batches):
         for b in batches:
-            for s, data in zip(b.column(0).to_pylist(), b.column(1)):
+            for p, k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 own = Shard(data.as_buffer())
-                docs = [None if x == NULL_ID else x for x in own.doc_ids.tolist()]
-                crc = [zlib.crc32(own.document(k).astype("<u4").tobytes()) for k in range(own.n_docs)]
-                yield pa.RecordBatch.from_arrays([pa.array([s] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(own.first[:-1]), pa.array(np.diff(own.first)), pa.array(crc, pa.int64())], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+                n = own.n_docs
+                crc = [zlib.crc32(own.document(i).astype("<u4").tobytes()) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([p] * n, pa.int32()), pa.array([k] * n, pa.int32()), pa.array(own.doc_ids, pa.int64(), mask=own.none), pa.array(own.first[:-1]), pa.array(np.diff(own.first)), pa.array(crc, pa.int64())], ["part", "number", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    read = shards.select("shard", "data").mapInArrow(work, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return read.join(starts, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    read = shards.select("part", "number", "data").mapInArrow(work, "part int, number int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return read.join(starts, ["part", "number"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op5_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, compact
-from .dac import _bucket
 
 WIDTH = 5
 RADIUS = 3
@@ -49,6 +48,18 @@ def fingerprint_rows(rows: DataFrame, keys: list[str], text: str = "text", width
     return votes.select(*keys, fp.alias("fp"))
 
 
+def _bucket(column, bounds: list[int]):
+    """How many of the sorted bounds are below a value: a look at every so-manieth, then within them."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    lit = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    coarse = F.size(F.filter(lit([p[-1] for p in parts]), lambda x: x < column))
+    fine = F.size(F.filter(F.coalesce(F.get(F.array(*map(lit, parts)), coarse), lit([]).cast("array<long>")), lambda x: x < column))
+    return F.when(column.isNull(), 0).otherwise(coarse * step + fine)
+
+
 def hamming(a, b):
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -130,14 +141,18 @@ def as_hex(column):
 
 
 def op2_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query, and near_count: for documents whose id is divisible by 20, how many rows of other
-    fingerprint are within 3 bits, from the block tables (others: null)."""
+    """Contract query; for documents whose id is divisible by 20 also, from the block tables (others: null):
+    near_count, how many other rows are within 3 bits, those of the same fingerprint among them, and
+    near_fingerprints, the other fingerprints within 3 bits in order (rows of each have it in ``fingerprint``)."""
     work = Workspace(spark, "fingerprints")
     marked = work.table(compact(edited_fingerprints(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))), "marked")
     every = work.table(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "different")
     queries = marked.where(F.col("doc_id") % 20 == 0).select(F.col("fp").alias("q")).distinct()
     pairs = near_fingerprints(queries, every.select("fp"))
-    near = pairs.join(every, "fp").groupBy("q").agg(F.sum("n").alias("near"))
-    near = work.table(near, "near").withColumnRenamed("q", "fp")
-    count = F.when(F.col("doc_id") % 20 == 0, F.coalesce("near", F.lit(0)))
-    return marked.join(near, "fp", "left").select("doc_id", "n_chars", "edited_sha256", as_hex("fp").alias("fingerprint"), as_hex("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", count.cast("long").alias("near_count"))
+    # different fingerprints within 3 bits of one: 43,744 at most
+    near = pairs.join(every, "fp").groupBy("q").agg(F.sum("n").alias("near"), F.sort_array(F.collect_list(as_hex("fp"))).alias("partners"))
+    same = every.join(queries.withColumnRenamed("q", "fp"), "fp").select("fp", "n")
+    near = work.table(same.join(near.withColumnRenamed("q", "fp"), "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("near"), F.coalesce("partners", F.array().cast("array<string>")).alias("partners")), "near")
+    asked = F.col("doc_id") % 20 == 0
+    count = F.when(asked, F.col("near"))
+    return marked.join(near, "fp", "left").select("doc_id", "n_chars", "edited_sha256", as_hex("fp").alias("fingerprint"), as_hex("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", count.cast("long").alias("near_count"), F.when(asked, F.array_join("partners", ",")).alias("near_fingerprints"))
