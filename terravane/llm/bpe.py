@@ -15,13 +15,16 @@ import hashlib
 import json
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import held, slices
+from .common import held, no_cycles, slices
+from .pieces import END, HEAD, SIMPLE, Cutter, blocks, joined
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -147,23 +150,22 @@ class Transducer:
         return out
 
     def encode(self, data: bytes) -> list[int]:
-        return list(self.stream([data]))
+        return list(self.stream((data,)))
 
     def stream(self, blocks):
         """Tokens of a pre-token that comes in blocks of bytes, each as soon as it is stable."""
-        ahead, length, before, held = self.v.lookahead, self.length, -1, b""
+        ahead, length, before, kept, at = self.v.lookahead, self.length, -1, b"", 0
         for block in blocks:
-            held += block
-            while len(held) >= 2 * ahead:
-                at = 0
-                for t in self.window(held[: 2 * ahead], before):
-                    if at + length[t] > ahead:
+            kept, at = kept[at:] + block, 0
+            while len(kept) - at >= 2 * ahead:
+                stop = at + ahead
+                for t in self.window(kept[at : at + 2 * ahead], before):
+                    if at + length[t] > stop:
                         break
                     yield t
                     at, before = at + length[t], t
-                held = held[at:]
-        if held:
-            yield from self.window(held, before)
+        if len(kept) > at:
+            yield from self.window(kept[at:] if at else kept, before)
 
 
 #: The pattern of byte-level BPE that splits text before the merges (fixed value).
@@ -173,62 +175,54 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 class Encoder:
     """Encodes texts as the tokenizers library does with the same file.
 
-    Text is taken at blanks that always begin a pre-token; the tokens of such pieces, and of
-    pre-tokens, are remembered in tables that are emptied when full. Pre-tokens that are new go
-    through the transducer.
+    Every pre-token goes through the transducer; what it gives is remembered for pre-tokens that aren't long,
+    in tables that are emptied when full. ``stream`` takes a text window by window; ``piece`` gives the tokens
+    of a piece as ``pieces.Cutter`` cuts them.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most_pieces: int = 250_000, longest_piece: int = 64):
-        self.v, self.machine = vocabulary, Transducer(vocabulary)
-        self.split = regex.compile(PATTERN).findall
-        self.odd = regex.compile(r"\s \s|\s \Z").search
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 300_000, longest_word: int = 64, window: int = 1 << 16):
+        self.v, self.machine, self.at_once = vocabulary, Transducer(vocabulary), window
+        self.split = regex.compile(PATTERN).finditer
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocabulary.added, key=len, reverse=True)) + ")").split if vocabulary.added else None
-        self.longest = longest_piece
-        self.pieces, self.words = _Table(self._piece, most_pieces, longest_piece), _Table(self._word, most_pieces // 4, longest_piece)
+        self.safe = regex.compile(r"(?<=\S) (?=\S)").search
+        self.words = _Table(lambda word: tuple(self.machine.encode(word.encode())), most_words, longest_word)
         self.by_library = ByteLevel(add_prefix_space=False).pre_tokenize_str
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        data = word.encode()
-        if (t := self.v.of.get(data)) is not None and len(data) == 1:
-            return (t,)
-        return tuple(self.machine.window(data) if len(data) <= self.longest * 4 else self.machine.encode(data))
+        self.cutter = Cutter(vocabulary.added)
+        self.line = self.words["\n"]
 
     def _words(self, text: str):
-        words = self.words
         if text.isascii() or max(text) <= "\u02ff":
-            split = self.split(text)
+            split = (m[0] for m in self.split(text))
         else:  # which characters are letters is up to the library's Unicode version
             split = (text[a:b] for _, (a, b) in self.by_library(text))
-        return map(words.__getitem__, split)
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        if len(piece) <= self.longest and (piece.isascii() or max(piece) <= "\u02ff"):
-            if piece[0] == " ":
-                if piece[1:].isalpha():  # one pre-token
-                    return self._word(piece)
-                if piece[1:-1].isalpha() and piece[-1] in ",.;:!?":  # two
-                    return self.pieces[piece[:-1]] + self.words[piece[-1]]
-        return tuple(chain.from_iterable(self._words(piece)))
-
-    def _plain(self, text: str) -> list[int]:
-        if self.odd(text):
-            return list(chain.from_iterable(self._words(text)))
-        first, *rest = text.split(" ")
-        out = list(self._piece(first)) if first else []
-        out.extend(chain.from_iterable(map(self.pieces.__getitem__, [" " + x for x in rest])))
-        return out
+        return map(self.words.__getitem__, split)
 
-    def encode(self, text: str) -> list[int]:
-        if self.special is None:
-            return self._plain(text) if text else []
-        parts = self.special(text) if any(s in text for s in self.v.added) else [text]
-        out: list[int] = []
-        for part in parts:
+    def stream(self, text: str):
+        """The tokens of a text, a pre-token at a time, from windows that end before a blank between non-blanks."""
+        for part in self.special(text) if self.special and any(s in text for s in self.v.added) else [text]:
             if part in self.v.added:
-                out.append(self.v.added[part])
-            elif part:
-                out.extend(self._plain(part))
-        return out
+                yield (self.v.added[part],)
+                continue
+            at = 0
+            while at < len(part):
+                cut = self.safe(part, at + self.at_once)
+                stop = cut.start() if cut else len(part)
+                yield from self._words(part[at:stop] if at or cut else part)
+                at = stop
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self.stream(text))) if text else []
+
+    def piece(self, piece: str) -> tuple[int, ...]:
+        if piece == END:
+            return ()
+        lead, body = ("", piece[1:]) if piece[0] == HEAD else ("\n", piece[1:]) if piece[0] == "\n" else (" ", piece)
+        before = self.line if lead == "\n" else ()
+        if not body:
+            return before
+        if m := SIMPLE(body):  # a pre-token, and one of marks
+            return before + self.words[" " + m[1] if lead == " " else m[1]] + (self.words[m[2]] if m[2] else ())
+        return before + tuple(chain.from_iterable(self._words(" " + body if lead == " " else body)))
 
 
 class _Table(dict):
@@ -256,11 +250,74 @@ class Decoder:
     def __init__(self, vocabulary: Vocabulary, block: int = 1 << 16):
         self.of, self.block = vocabulary.decoded, block
 
+    def texts(self, data):
+        """Parts of the text of bytes that come as one buffer, block by block."""
+        machine = codecs.getincrementaldecoder("utf-8")("replace")
+        for at in range(0, len(data), self.block):
+            yield machine.decode(data[at : at + self.block])
+        yield machine.decode(b"", True)
+
     def decode(self, ids) -> str:
         machine, of, block = codecs.getincrementaldecoder("utf-8")("replace"), self.of.__getitem__, self.block
         return "".join(machine.decode(b"".join(map(of, ids[at : at + block]))) for at in range(0, len(ids), block)) + machine.decode(b"", True)
 
 
+class Digester:
+    """(number of ids, SHA-256 of the ids as text, SHA-256 of the text decoded from them) of whole texts."""
+
+    def __init__(self, own: Encoder, most: int = 250_000):
+        self.own, self.back, self.most = own, Decoder(own.v), most
+        self.digits = {i: b"%d," % i for i in own.v.decoded}.__getitem__
+        self.known: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+
+    def one(self, text: str) -> tuple[int, str, str]:
+        """Of a text that is streamed: a window's tokens and bytes are held at a time."""
+        n, ids, out, machine, held, of = 0, hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace"), [], self.own.v.decoded
+        for t in chain(self.own.stream(text), [None]):
+            if t is not None:
+                held.extend(t)
+            if held and (t is None or len(held) >= 1 << 14):
+                ids.update((b"," if n else b"") + b"".join(map(self.digits, held))[:-1])
+                out.update(machine.decode(b"".join(map(of.__getitem__, held))).encode())
+                n, held = n + len(held), []
+        out.update(machine.decode(b"", True).encode())
+        return n, ids.hexdigest(), out.hexdigest()
+
+    def _make(self, piece: str) -> tuple[int, bytes, bytes]:
+        if (found := self.old.get(piece)) is None:
+            ids = self.own.piece(piece)
+            found = len(ids), b"".join(map(self.digits, ids)), b"".join(map(self.own.v.decoded.__getitem__, ids))
+        return found
+
+    def batch(self, texts: pa.Array, longest: int = 1 << 20) -> tuple[list, list, list]:
+        """Of all texts: those without odd places by their pieces, the others and long ones streamed."""
+        long = pc.greater(pc.fill_null(pc.binary_length(texts), 0), longest)
+        odd, different, indices, offsets = self.own.cutter.cut(pc.if_else(long, "", texts))
+        if len(self.known) > self.most:
+            self.old, self.known = self.known, {}
+        known = self.known
+        pieces = different.to_pylist()
+        with no_cycles():
+            known.update([(p, self._make(p)) for p in pieces if p not in known])
+        made = list(map(known.__getitem__, pieces))
+        total = np.concatenate([[0], np.cumsum(np.array([m[0] for m in made], np.int64)[indices.to_numpy()])])
+        counts = np.diff(total[offsets]).tolist()
+        digits_at, digits = joined([m[1] for m in made], indices, offsets)
+        text_at, raw = joined([m[2] for m in made], indices, offsets)
+        ids_sha, text_sha = [], []
+        for a, b, c, d in zip(digits_at[:-1].tolist(), digits_at[1:].tolist(), text_at[:-1].tolist(), text_at[1:].tolist()):
+            ids_sha.append(hashlib.sha256(digits[a : max(a, b - 1)]).hexdigest())
+            sha = hashlib.sha256()
+            for part in self.back.texts(raw[c:d]):
+                sha.update(part.encode())
+            text_sha.append(sha.hexdigest())
+        streamed = np.flatnonzero(odd | long.to_numpy(zero_copy_only=False))
+        for i, text in zip(streamed.tolist(), texts.take(pa.array(streamed)).to_pylist()):
+            counts[i], ids_sha[i], text_sha[i] = self.one(text)
+        return counts, ids_sha, text_sha
+
+
 def encoder(path: str) -> Encoder:
     """The encoder of a file, one a worker process."""
     return held(("bpe", path), lambda: Encoder(Vocabulary(path)))
@@ -295,22 +352,16 @@ def decode_documents(tokens: DataFrame, path: str | None = None) -> DataFrame:
 def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, its ids decoded, both digested.
 
-    One pass, a document at a time, so that ids and decoded texts never leave the worker. Null text is
-    empty: no ids, digests of nothing. Rows come out as often as they came in.
+    One pass; ids and decoded texts never leave the worker. Null text is empty: no ids, digests of nothing. Rows
+    come out as often as they came in; an empty table gives an empty result.
     """
     name = path
 
     def work(batches):
-        own = encoder(name or tokenizer_path())
-        back, digits = Decoder(own.v), {i: str(i) for i in own.v.decoded}.__getitem__
-        for b in slices(batches):
-            rows: tuple[list, ...] = ([], [], [])
-            for text in b.column(1).to_pylist():
-                ids = own.encode(text) if text else []
-                rows[0].append(len(ids))
-                rows[1].append(hashlib.sha256(",".join(map(digits, ids)).encode()).hexdigest())
-                rows[2].append(hashlib.sha256(back.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own = held(("digests", name), lambda: Digester(Encoder(Vocabulary(name or tokenizer_path()))))
+        for b in blocks(batches, 1):
+            n, ids, text = own.batch(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
