@@ -1,18 +1,24 @@
 """SimHash near-duplicates by anchor points of a covering code.
 
-Fingerprints are cut into three blocks of 21, 21 and 22 bits. Of two fingerprints that differ in at most
-4 bits, one block differs in at most 1 (``floor(4 / 3)``). In each block the anchors are the words of a
-linear covering code: the perfect Hamming code on the first 15 bits beside all words of the others, of
-covering radius 1. A fingerprint is *at home* at one anchor within the covering radius, and is replicated to
-every anchor within covering radius plus block threshold (2), about 15 a block. If block b of x and y
-differs in at most 1 bit, y is replicated to the home anchor of x there, so a comparison per anchor misses
-no link. There are 2^17 (2^18) anchors a block, so comparisons per anchor stay few into tens of millions of
-different fingerprints; equal fingerprints are one from the start.
+A fingerprint is cut into blocks. In each block the anchors are the words of a linear covering code: the perfect
+Hamming code on the first 15 bits beside all words of the others, of covering radius 1. A fingerprint is *at home*
+at one anchor within the covering radius, and is replicated to every anchor within covering radius plus block
+threshold, 1. So of two fingerprints whose block differs in at most 1 bit, either is replicated to the home anchor of
+the other, and comparing homes with replicas per anchor finds the pair.
+
+``links`` finds all pairs that differ in at most 4 of 64 bits, exactly: of three blocks (21, 21 and 22 bits) one differs
+in at most ``floor(4 / 3)`` = 1 bit. ``similar`` finds texts whose shingle sets are similar to a share: such sets'
+SimHash bits differ with a known chance, so it takes longer fingerprints, with blocks of about as many bits as the
+number of texts has (an anchor then has the same few rows at every size) and as many blocks as the wanted
+recall needs; candidates are confirmed by the exact similarity of both sets.
+
+Anchors of many rows are split into cells of homes and replicas, so that no task holds or compares them all.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -20,36 +26,57 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard
 from .common import Workspace, connected_components, slices
 
 THRESHOLD = 4
-BLOCKS = ((0, 21), (21, 21), (42, 22))
+#: Blocks of a fingerprint: word, lowest bit, bits.
+BLOCKS = ((0, 0, 21), (0, 21, 21), (0, 42, 22))
 HAMMING = 15
 RADIUS = 1
+#: Rows of one anchor above which it is split.
+CROWD = 20_000
 
 
-def simhash64(text: str | None, width: int, seed: int) -> int:
-    """Unsigned SimHash of the ``width``-word shingles of a text; 0 where it has no word.
+def _words(text: str | None, width: int, seed: int) -> np.ndarray:
+    """XXH64 of the ``width``-word shingles of a text, repeats included; none where it has no word.
 
     Words are runs of bytes other than space and 0x09-0x0D, after lower-casing A-Z; a text of fewer
-    words has one shingle, all its words. A bit is 1 if it is set in over half the shingles' XXH64.
+    words has one shingle, all its words.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = ends - np.fromiter(map(len, words), np.int64, len(words))
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
     n = max(1, len(words) - width + 1)
-    last = ends[width - 1 :] if len(words) >= width else ends[-1:]
+    starts, last = (ends - lengths)[:n], ends[width - 1 :] if len(words) >= width else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], seed) for s, e in zip(starts[:n].tolist(), last.tolist())], np.uint64)
-    votes = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        part = hashes[at : at + (1 << 16)]
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
+    return np.array([digest(joined[s:e], seed) for s, e in zip(starts.tolist(), last.tolist())], np.uint64)
+
+
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    """By bit: in how many of the hashes (n x words) it is set."""
+    n, w = hashes.shape
+    votes = np.zeros(64 * w, np.int64)
+    whole = n // 255 * 255
+    for at in range(0, whole, 255 * 64):  # 255 bits can't overflow a byte
+        bits = np.unpackbits(hashes[at : min(whole, at + 255 * 64)].view(np.uint8).reshape(-1, 8 * w), axis=1, bitorder="little")
+        votes += np.add.reduce(bits.reshape(-1, 255, 64 * w), axis=1, dtype=np.uint8).sum(0, dtype=np.int64)
+    if whole < n:
+        votes += np.add.reduce(np.unpackbits(hashes[whole:].view(np.uint8).reshape(-1, 8 * w), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return votes
+
+
+def _majority(votes: np.ndarray, n: int) -> np.ndarray:
+    """Words of the bits that are set in over half of n hashes."""
+    return np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)
+
+
+def simhash64(text: str | None, width: int, seed: int) -> int:
+    """Unsigned SimHash of the shingles of a text, repeats included; 0 where it has no word."""
+    hashes = _words(text, width, seed)
+    return int(_majority(_votes(hashes[:, None]), len(hashes))[0]) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
@@ -83,23 +110,47 @@ def _patterns(bits: int, within: int) -> list[list[int]]:
     return out
 
 
-def _anchor(block, k: int):
-    """An error pattern of a block to the number of the anchor that it leads to."""
-    return lambda e: block.bitwiseXOR(e) + F.lit(k << 22)
-
+def replicas(fps: DataFrame, blocks=BLOCKS, keep: tuple[str, ...] = (), homes: bool = False) -> DataFrame:
+    """(anchor, home, node, fp, keep) for every anchor within covering radius plus block threshold of each block.
 
-def replicas(fps: DataFrame) -> DataFrame:
-    """(anchor, fp) for every anchor within covering radius plus block threshold; fps: different (fp)."""
-    block_threshold = THRESHOLD // len(BLOCKS)
+    fps: (node, words array<long>, keep); fp is the first word. home is 1 at one anchor of each block; with homes
+    only these come out.
+    """
+    tables = {bits: _patterns(bits, RADIUS + 1) for bits in {b for _, _, b in blocks}}
     parts = []
-    for k, (low, bits) in enumerate(BLOCKS):
-        block = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-        table = F.array(*(F.array(*map(F.lit, own)) for own in _patterns(bits, RADIUS + block_threshold)))
-        parts.append(F.transform(F.get(table, _syndrome(block)), _anchor(block, k)))
-    return fps.select(F.explode(F.concat(*parts)).alias("anchor"), "fp")
+    for k, (word, low, bits) in enumerate(blocks):
+        block = F.shiftrightunsigned(F.get("words", F.lit(word)), low).bitwiseAND(F.lit((1 << bits) - 1))
+        table = F.array(*(F.array(*(F.lit(e).cast("long") for e in own[: 1 if homes else None])) for own in tables[bits]))
+        parts.append(F.transform(F.get(table, _syndrome(block)), _anchor(block, F.lit(k << 40).cast("long"))))
+    out = fps.select("node", F.get("words", F.lit(0)).alias("fp"), *keep, F.explode(F.concat(*parts)).alias("x"))
+    return out.select(F.shiftright("x", 1).alias("anchor"), F.col("x").bitwiseAND(F.lit(1)).cast("int").alias("home"), "node", "fp", *keep)
+
 
+def _anchor(block, mark):
+    """An error pattern of a block, and whether it is the first (the home's), to the number of its anchor."""
+    return lambda e, i: F.shiftleft(block.bitwiseXOR(e) + mark, 1).bitwiseOR(F.when(i == 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
 
-def _forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+
+def _cells(work: Workspace, name: str, fps: DataFrame, blocks, keep: tuple[str, ...], most: int) -> DataFrame:
+    """``replicas`` with cell: anchors of over ``most`` homes are cut into c x c cells of homes by replicas.
+
+    A home goes to the c cells of its row, a replica to the c of its column; homes are replicas too.
+    """
+    rows = replicas(fps, blocks, keep)
+    crowds = replicas(fps, blocks, homes=True).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    crowds = work.table(crowds.select("anchor", F.ceil(F.col("n") / most).cast("int").alias("c")), f"{name}-crowds")
+    if not crowds.head(1):
+        return rows.withColumn("cell", F.lit(0))
+    mine = F.pmod(F.xxhash64("node"), F.col("c")).cast("int")
+    every = F.sequence(F.lit(0), F.col("c") - 1)
+    as_home = F.transform(every, lambda j: F.struct((mine * F.col("c") + j).alias("cell"), F.lit(1).alias("home")))
+    as_replica = F.transform(every, lambda i: F.struct((i * F.col("c") + mine).alias("cell"), F.lit(0).alias("home")))
+    places = F.when(F.col("c").isNull(), F.array(F.struct(F.lit(0).alias("cell"), F.col("home").alias("home")))).when(F.col("home") == 1, F.concat(as_home, as_replica)).otherwise(as_replica)
+    rest = [c for c in rows.columns if c != "home"]
+    return rows.join(crowds, "anchor", "left").select(*rest, F.explode(places).alias("p")).select(*rest, "p.cell", "p.home")
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the edges, so that dense groups don't come out as all their pairs."""
     root: dict[int, int] = {}
 
@@ -114,55 +165,95 @@ def _forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
         if ra != rb:
             root[max(ra, rb)] = min(ra, rb)
             kept.append((a, b))
-    return kept
-
-
-def _compare(anchor: np.ndarray, fp: np.ndarray, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the rows of equal (adjacent) anchors, as a spanning forest."""
-    fu, at, d = fp.view(np.uint64), np.arange(len(fp) - 1), 1
-    us, vs, held = [], [], 0
-    while len(at):
-        at = at[: np.searchsorted(at, len(fp) - d)]
-        at = at[anchor[at] == anchor[at + d]]
-        hit = at[np.bitwise_count(fu[at] ^ fu[at + d]) <= THRESHOLD]
-        if len(hit):
-            us.append(fp[hit])
-            vs.append(fp[hit + d])
-            held += len(hit)
-        if held > most:
-            kept = np.array(_forest(np.concatenate(us), np.concatenate(vs)), np.int64).reshape(-1, 2)
-            us, vs, held = [kept[:, 0]], [kept[:, 1]], len(kept)
-            most = max(most, 2 * held)
-        d += 1
-    if not us:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kept = np.array(_forest(np.concatenate(us), np.concatenate(vs)), np.int64).reshape(-1, 2)
-    return kept[:, 0].copy(), kept[:, 1].copy()
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """(u, v): a spanning forest, per anchor, of all pairs of fingerprints that differ in 1 to 4 bits.
-
-    A task sees the rows of its anchors in order, a batch at a time. The forest of a dense group has
-    fewer rows than the group, and joins all that its links join.
+    out = np.array(kept, np.int64).reshape(-1, 2)
+    return out[:, 0].copy(), out[:, 1].copy()
+
+
+def _spans(first: np.ndarray, end: np.ndarray, most: int):
+    """Index arrays of the pairs (k, first[k] .. end[k] - 1), so many at a time."""
+    n = np.maximum(0, end - first)
+    total = np.concatenate([[0], np.cumsum(n)])
+    for at in range(0, int(total[-1]), most):
+        k = np.arange(at, min(at + most, int(total[-1])))
+        i = np.searchsorted(total, k, side="right") - 1
+        yield i, first[i] + k - total[i]
+
+
+def _compare(key, home, node, fp, extra, accept, forest: bool, most: int = 1 << 18):
+    """(u, v) among the rows of equal (adjacent) keys: homes with all others that ``accept`` takes, as a spanning forest or all."""
+    if not len(key):
+        return
+    order = np.lexsort((-home, key))
+    key, home, node, fp, extra = key[order], home[order], node[order], fp[order], [x[order] for x in extra]
+    homes = np.flatnonzero(home)
+    end = np.searchsorted(key, key[homes], side="right")
+    us, vs, held, limit = [], [], 0, most
+    for i, b in _spans(homes + 1, end, most):
+        a = homes[i]
+        ok = (node[a] != node[b]) & accept(fp, extra, a, b)
+        if ok.any():
+            u, v = node[a[ok]], node[b[ok]]
+            us.append(np.minimum(u, v))
+            vs.append(np.maximum(u, v))
+            held += len(u)
+        if held > limit:
+            if not forest:
+                yield np.concatenate(us), np.concatenate(vs)
+                us, vs, held = [], [], 0
+                continue
+            u, v = _forest(np.concatenate(us), np.concatenate(vs))
+            us, vs, held = [u], [v], len(u)
+            limit = max(most, 2 * held)
+    if us:
+        u, v = np.concatenate(us), np.concatenate(vs)
+        yield _forest(u, v) if forest else (u, v)
+
+
+def _pairs(work: Workspace, name: str, fps: DataFrame, blocks, accept, forest: bool = True, extra: tuple[str, ...] = (), most: int = CROWD) -> DataFrame:
+    """(u, v) of nodes that meet at an anchor and that ``accept`` takes, u the smaller; fps as of ``replicas``.
+
+    A task sees the rows of its cells in order, a batch at a time. With forest only a spanning forest of each
+    cell's pairs comes out: fewer rows than the cell has, and it joins all that its pairs join.
     """
 
-    def work(batches):
-        anchor, fp = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    def run(batches):
+        held: list[list[np.ndarray]] = []
         for b in batches:
-            a = np.concatenate([anchor, b.column(0).to_numpy(zero_copy_only=False)])
-            f = np.concatenate([fp, b.column(1).to_numpy(zero_copy_only=False)])
-            cut = int(np.searchsorted(a, a[-1])) if len(a) else 0  # the last anchor may go on
-            u, v = _compare(a[:cut], f[:cut])
-            anchor, fp = a[cut:].copy(), f[cut:].copy()
-            if len(u):
+            if not b.num_rows:
+                continue
+            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            goes_on = held and all(held[-1][k][-1] == now[k][-1] for k in (0, 1))
+            held.append(now)
+            if goes_on:
+                continue
+            cols = [np.concatenate(c) for c in zip(*held)]
+            cut = 1 + int(np.flatnonzero((cols[0][:-1] != cols[0][-1]) | (cols[1][:-1] != cols[1][-1]))[-1]) if (cols[0][0], cols[1][0]) != (cols[0][-1], cols[1][-1]) else 0
+            yield from found([c[:cut] for c in cols])
+            held = [[c[cut:].copy() for c in cols]]
+        if held:
+            yield from found([np.concatenate(c) for c in zip(*held)])
+
+    def found(cols):
+        anchor, cell, home, node, *rest = cols
+        if len(anchor):
+            key = np.cumsum(np.concatenate([[False], (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])]))
+            fp, *more = [c.view(np.uint64) for c in rest]
+            for u, v in _compare(key, home, node, fp, more, accept, forest):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-        u, v = _compare(anchor, fp)
-        if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    rows = replicas(fps)
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(work, "u long, v long").distinct()
+    rows = _cells(work, name, fps, blocks, extra, most)
+    dealt = rows.select("anchor", "cell", "home", "node", "fp", *extra).repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def links(fps: DataFrame, most: int = CROWD, work: Workspace | None = None) -> DataFrame:
+    """(u, v): spanning forests of all pairs of different fingerprints (fp) that differ in 1 to 4 bits."""
+
+    def accept(fp, extra, a, b):
+        return np.bitwise_count(fp[a] ^ fp[b]) <= THRESHOLD
+
+    work = work or Workspace(fps.sparkSession, "links")
+    return _pairs(work, "links", fps.select(F.col("fp").alias("node"), F.array("fp").alias("words")), BLOCKS, accept, most=most)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
@@ -177,7 +268,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, seed:
     work = Workspace(spark, "anchors")
     marked = work.table(fingerprints(docs, width, seed), "fingerprints")
     different = work.table(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "different")
-    edges = work.table(links(different.select("fp")), "links")
+    edges = work.table(links(different.select("fp"), work=work), "links")
     labels = connected_components(work, edges)
     joined = different.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     smallest = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
@@ -185,14 +276,140 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, seed:
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def chance(similarity: float) -> float:
+    """Chance that a SimHash bit of two sets of that Jaccard similarity differs, at most: that of sets of equal size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def layout(n: int, similarity: float, recall: float = 0.98) -> list[tuple[int, int, int]]:
+    """Blocks of a long fingerprint by which, of two sets of that similarity among n, one block differs in at most 1 bit with the chance ``recall``."""
+    bits = min(32, max(HAMMING + 1, math.ceil(math.log2(max(2, n)))))
+    p = chance(similarity)
+    one = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    number = math.ceil(math.log(1 - recall) / math.log(1 - one))
+    per_word = 64 // bits
+    return [(k // per_word, k % per_word * bits, bits) for k in range(number)]
+
+
+def shingle_set(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted different XXH64 of a text's shingles."""
+    return np.unique(_words(text, width, seed))
+
+
+def _long_fingerprint(own: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of a set in so many words: each shingle's hash is mixed anew for each word (SplitMix64)."""
+    votes = np.zeros(64 * words, np.int64)
+    salt = (np.arange(words, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(own), 1 << 14):
+        x = own[at : at + (1 << 14), None] + salt
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        votes += _votes(np.ascontiguousarray(x ^ (x >> np.uint64(31))))
+    return _majority(votes, len(own))
+
+
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+
+
+def _marks(docs: DataFrame, words: int, width: int, seed: int) -> DataFrame:
+    """(doc_id, row, node, size, words) of every row; row: a hash of its text, node: of its set, words: the set's fingerprint."""
+
+    def work(batches):
+        for b in slices(batches):
+            sets = [shingle_set(t, width, seed) for t in b.column(2).to_pylist()]
+            fps = np.array([_long_fingerprint(s, words) for s in sets], np.uint64).reshape(-1, words).view(np.int64)
+            own = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * words, pa.int32()), pa.array(fps.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_digests(sets)), pa.array(list(map(len, sets)), pa.int64()), own], ["doc_id", "row", "node", "size", "words"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInArrow(work, "doc_id long, row long, node long, size long, words array<long>")
+
+
+def _confirmed(work: Workspace, docs: DataFrame, rows: DataFrame, found: DataFrame, share: tuple[int, int], width: int, seed: int, name: str) -> DataFrame:
+    """Those of the pairs (u, v) whose sets are as similar as share[0] / share[1]. rows: (node, row), row a hash of a text that has the set."""
+
+    def sets_of(batches):
+        for b in slices(batches):
+            sets = [shingle_set(t, width, seed) for t in b.column(0).to_pylist()]
+            own = pa.array([s.view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(_digests(sets)), own], ["node", "own"])
+
+    found = work.table(found, f"{name}-pairs")
+    ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = docs.select("text", F.xxhash64("text").alias("row")).join(rows.join(ends, "node").select("row"), "row", "left_semi")
+    sets = work.table(texts.groupBy("row").agg(F.first("text").alias("text")).select("text").mapInArrow(sets_of, "node long, own array<long>").dropDuplicates(["node"]), f"{name}-sets")
+    both = found.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
+    both = both.select("u", "v", F.size(F.array_intersect("a", "b")).cast("long").alias("n"), (F.size("a") + F.size("b")).cast("long").alias("total"))
+    # n / (total - n) >= share[0] / share[1]
+    return work.table(both.where(F.col("n") * sum(share) >= F.col("total") * share[0]).select("u", "v"), f"{name}-links")
+
+
+def _close(limits: tuple[int, int], share: tuple[int, int]):
+    """Pairs whose sizes allow the similarity and whose fingerprints differ in few enough bits: of the first word, and of all where they are given."""
+    one, every = limits
+
+    def accept(fp, extra, a, b):
+        size, *label_words = extra
+        ok = np.minimum(size[a], size[b]) * share[1] >= np.maximum(size[a], size[b]) * share[0]
+        ok &= np.bitwise_count(fp[a] ^ fp[b]) <= one
+        if label_words and ok.any():
+            label, *words = label_words
+            ok &= label[a] != label[b]
+            at = np.flatnonzero(ok)
+            off = np.bitwise_count(fp[a[at]] ^ fp[b[at]]).astype(np.int64)
+            for w in words:
+                off += np.bitwise_count(w[a[at]] ^ w[b[at]])
+            ok[at[off > every]] = False
+        return ok
+
+    return accept
+
+
+def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (4, 5), width: int = 5, seed: int = 42, recall: float = 0.98) -> DataFrame:
+    """(doc_id, row, component_id) of every row of ``docs`` (doc_id, text, others are ignored); row is xxhash64 of text.
+
+    Rows link where the Jaccard similarity of their shingle sets is share[0] / share[1] or more; a link of just
+    that similarity is found with the chance ``recall`` at least, closer ones with a higher one, equal sets always, and
+    no link is wrong. component_id is the smallest doc_id that links reach, null where there is none. Texts without a
+    word are equal to each other. An empty table gives an empty result.
+
+    First the spanning forests of candidates at each anchor are confirmed, so large groups don't come out as
+    all their pairs; then the pairs of those candidates that this hasn't joined.
+    """
+    work = Workspace(spark, "similar")
+    blocks = layout(docs.select("doc_id").count(), share[0] / share[1], recall)
+    n_words = blocks[-1][0] + 1
+    # three deviations beyond the mean number of differing bits
+    p = chance(share[0] / share[1])
+    limits = tuple(math.ceil(p * m + 3 * math.sqrt(p * (1 - p) * m)) for m in (64, 64 * n_words))
+    marked = work.table(_marks(docs, n_words, width, seed), "marked")
+    different = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("row").alias("row"), F.first("size").alias("size"), F.first("words").alias("words"))
+    different = work.table(different, "different")
+    rows, some = different.select("node", "row"), different.where("size > 0")
+    found = work.table(_pairs(work, "turn1", some, blocks, _close(limits, share), True, ("size",)), "forest")
+    links1 = _confirmed(work, docs, rows, found, share, width, seed, "turn1")
+    labels = connected_components(work, links1, "cc1")
+    ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    live = some.join(ends, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    live = work.table(live.select("node", "size", "label", "words", *(F.get("words", F.lit(k)).alias(f"w{k}") for k in range(1, n_words))), "live")
+    extra = ("size", "label", *(f"w{k}" for k in range(1, n_words)))
+    links2 = _confirmed(work, docs, rows, _pairs(work, "turn2", live, blocks, _close(limits, share), False, extra), share, width, seed, "turn2")
+    labels = connected_components(work, links1.unionByName(links2), "cc2")
+    joined = different.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
+    smallest = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    classes = work.table(joined.join(smallest, "label").select("node", "component_id"), "classes")
+    return marked.select("doc_id", "row", "node").join(classes, "node").select("doc_id", "row", "component_id")
+
+
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Documents with one of each near-duplicate group (five-word shingles, similarity of 0.8 or more): the one of smallest doc_id.
 
-    Rows with null doc_id stay. Columns and other rows are as they came; of repeated rows of that
-    doc_id all stay, as they are one document.
+    Rows with null doc_id stay. Columns and other rows are as they came. Rows are told apart by doc_id and text, so
+    of rows of one doc_id those go whose own text has a smaller doc_id in its group; equal rows share their fate.
     """
-    gone = jaccard.near_duplicates(spark, docs).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = similar(spark, docs).where("component_id < doc_id").select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct()
+    own = docs.select(F.struct("*").alias("own"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row"))
+    return own.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left_anti").select("own.*")
 
 
 def op3_simhash_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
