@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -50,14 +51,19 @@ def test_sql(spark, name, mod):
 
 
 def test_bpe_matches_library(library):
-    own = bpe.Encoder(bpe.Vocabulary(bpe.tokenizer_path()), most_pieces=50)
+    own = bpe.Encoder(bpe.Vocabulary(bpe.tokenizer_path()), most_words=50, window=9)
+    digests = bpe.Digester(own, most=40)
     rng = random.Random(5)
     parts = ["a", "th", " the", "  ", "\n", "é", "12", "'s", "!!", "<|endoftext|>", "漢", "🙂", "\x85", " tion", "ing", ".", ", "]
     for _ in range(1500):
         s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
         want = library.encode(s, add_special_tokens=False).ids
         assert own.encode(s) == want
-        assert bpe.Decoder(own.v, block=7).decode(want) == library.decode(want, skip_special_tokens=False)
+        back = library.decode(want, skip_special_tokens=False)
+        assert bpe.Decoder(own.v, block=7).decode(want) == back
+        digest = len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+        assert digests.one(s) == digest
+        assert [tuple(x) for x in zip(*digests.batch(pa.array([s, None, s]), longest=rng.choice([5, 1000])))][::2] == [digest, digest]
 
 
 def test_bpe_streams_long_pretokens(library):
@@ -90,10 +96,12 @@ def test_dac_codes_give_random_access():
 
 
 def test_dac_odd_rows(spark, odd, empty, library):
-    docs = odd.where("doc_id is not null")
-    got = dac.read_shards(dac.write_shards(docs, Workspace(spark, "t"), docs_a_shard=3)).collect()
+    docs = odd.unionByName(odd.selectExpr("-9223372036854775808 as doc_id", "text", "lang", "source", "n_chars", "th", "rank", "seq").limit(1))
+    rows = [*ODD, (-(1 << 63), None)]
+    got = dac.read_shards(dac.write_shards(docs, Workspace(spark, "t"), docs_a_shard=3, ids_a_shard=40)).collect()
     start = 0
-    for r, (i, t) in zip(sorted(got, key=lambda r: (r[0], r[1])), sorted((x for x in ODD if x[0]), key=lambda x: x[0])):
+    assert len(got) == len(rows)
+    for r, (i, t) in zip(sorted(got, key=lambda r: r["start"]), sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0))):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         assert tuple(r) == (i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         start += len(ids)
@@ -107,7 +115,19 @@ def _simhash(text, width):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_anchor_links_are_all_links(spark):
+def test_library_encoder_by_pieces(library):
+    own = dac.LibraryEncoder(bpe.tokenizer_path(), most=300)
+    rng = random.Random(4)
+    parts = ["a", "th", " the", "  ", "\n", "\n\n", "é", "12", "'s", "!!", "<|endoftext|>", "漢", "\x85", ".", ", ", "\t", "\r\n", "\u3000", "\x03", "\x04", "ʰ", "_x", "word***", " w\n", "1a"]
+    for _ in range(6):
+        texts = [None, *("".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(400))]
+        counts, ids = own.encode(pa.array(texts))
+        want = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
+@pytest.mark.parametrize("most", [20_000, 2])
+def test_anchor_links_are_all_links(spark, most):
     rng = random.Random(1)
     fps = set()
     for _ in range(60):
@@ -118,7 +138,7 @@ def test_anchor_links_are_all_links(spark):
                 x ^= 1 << b
             fps.add(x)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    edges = anchors.links(spark.createDataFrame([(x,) for x in signed], "fp long")).toDF("u", "v")
+    edges = anchors.links(spark.createDataFrame([(x,) for x in signed], "fp long"), most=most).toDF("u", "v")
     labels = {r[0]: r[1] for r in connected_components(Workspace(spark, "t"), edges).collect()}
     root = {x: x for x in fps}
 
@@ -150,6 +170,14 @@ def test_anchor_dedup_odd_rows(spark, odd, empty):
     assert {r["doc_id"] for r in anchors.keep_one(spark, odd).collect()} == {1, 4, 5, 7, 8, None}
 
 
+def test_keep_one_tells_texts_of_one_doc_id_apart(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "quite another text of some words"), (None, "a b c d e f"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as own", "2 as row", "3 as id", "4 as gone_id")
+    got = anchors.keep_one(spark, docs)
+    assert got.columns == docs.columns
+    assert sorted(map(str, (r[:2] for r in got.collect()))) == sorted(map(str, (rows[0], rows[2], rows[3], rows[4])))
+
+
 def test_near_dedup_finds_similarity_of_four_fifths(spark):
     rng = random.Random(8)
     texts = []
@@ -199,11 +227,12 @@ def test_block_tables_find_all(spark):
 def test_line_dedup_odd_rows(spark, odd, empty):
     run = "\n".join(f"zeile {k} hat so etwa acht worte in sich" for k in range(8))
     rows = [(1, "kopf\n" + run + "\nfuss"), (2, run), (3, "x\n\n" + run.replace("\n", "\n\n")), (4, "kurz\nkurz\nkurz"), (5, None), (6, ""), (7, run.split("\n")[0])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as th", "2 as seq", "3 as n")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as th", "2 as seq", "3 as n", "77 as n_lines", "5 as __gone", "6 as own", "7 as gone", "8 as lines")
     got = {r["doc_id"]: r for r in linedup.delete_repeats(spark, docs).collect()}
     assert got[1]["text"] == rows[0][1] and got[1]["n_deleted"] == 0
     assert got[2]["text"] == "" and got[2]["n_deleted"] == 8
-    assert got[3]["text"].strip() == "x" and got[4]["n_deleted"] == 0 and got[5]["text"] is None and got[6]["n_lines"] == 0 and got[7]["n_deleted"] == 0
+    assert got[3]["text"].strip() == "x" and got[4]["n_deleted"] == 0 and got[5]["text"] is None and got[6]["n_lines_"] == 0 and got[7]["n_deleted"] == 0
+    assert all(r["n_lines"] == 77 and r["th"] == 1 and r["__gone"] == 5 for r in got.values())
     assert linedup.delete_repeats(spark, odd).count() == len(ODD) and linedup.delete_repeats(spark, empty).count() == 0
 
 
@@ -213,6 +242,9 @@ def test_media_round_trip_and_carving(spark, odd, empty, tmp_path):
         raw = (t or "").encode()
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
         assert (got[i]["n_bytes"], got[i]["payload_bytes"], got[i]["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        wav = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
+        assert (got[i]["tail_crc32"], got[i]["media_bytes"], got[i]["media_sha256"]) == (zlib.crc32(payload[-64:]), len(wav), hashlib.sha256(wav).hexdigest())
+        assert f"samples={len(payload)};silent={payload.count(0)};level={sum(payload) / len(payload):.6f};" in got[i]["feature"]
     assert media.features(media.store(empty)).count() == 0
     import gzip
 
@@ -224,6 +256,21 @@ def test_media_round_trip_and_carving(spark, odd, empty, tmp_path):
     assert {r["id"]: (r["type"], r["corrected"]) for r in media.correct_types(rows).collect()} == {1: ("audio/wav", True), 2: (None, True), 3: (media.UNKNOWN, True)}
 
 
+def test_media_end_marks():
+    import io
+    import zipfile
+
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("a", "b" * 50)
+    pdf = b"%PDF-1.4\nx\nstartxref\n0\n%%EOF"
+    data = b"PK\x03\x04 no" + box.getvalue() + b"--" + pdf + b"%PDF- open"
+    _, carved = media.Sniffer().sniff(data)
+    assert [(m[0], m[1], m[2]) for m in carved] == [(7, len(box.getvalue()), "application/zip"), (9 + len(box.getvalue()), len(pdf), "application/pdf")]
+    many = b"%PDF- PK\x03\x04 " * 100_000
+    assert media.Sniffer().media(many) == []
+
+
 def test_warc_chunks_of_long_and_equal_payloads(spark):
     big = "é" * 5000
     rows = [(3, "u", big), (1, None, big), (2, "v\r\nx", None), (5, "w", ""), (7, "w", "p")]
@@ -235,6 +282,23 @@ def test_warc_chunks_of_long_and_equal_payloads(spark):
     assert warc.read_chunks(warc.write_chunks(pages.limit(0), Workspace(spark, "t"))).count() == 0
 
 
+def test_warc_repeated_rows_and_null_ids(spark):
+    big, other = "x" * 700, "y" * 650
+    rows = [(4, "u", big), (4, "u", big), (4, "u", other), (None, "n", big), (None, None, "only"), (9, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as digest", "2 as payload")
+    got = warc.read_chunks(warc.write_chunks(pages, Workspace(spark, "t"), chunk=99)).collect()
+    sha = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
+    assert sorted(map(str, ((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], r["url"]) for r in got))) == sorted(map(str, ((i, len(h), sha(h), "response", None, u) for i, u, h in rows)))
+
+
+def test_chat_roles_and_empty(spark):
+    rows = [(1, 0, "a]b", "hi"), (1, 1, "a]b", "]"), (1, 1, "a]b", "]"), (1, 2, "[x] \\)", "\\)"), (2, None, "user", "\\\\)")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as blocks", "2 as xs")
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.read_turns(chat.with_loss(chat.format_conversations(turns))).collect()}
+    assert got == {1: [(r, t) for _, _, r, t in rows[:4]], 2: [("user", "\\\\)")]}
+    assert chat.read_turns(chat.with_loss(chat.format_conversations(turns.limit(0)))).count() == 0
+
+
 def test_chat_reads_back_control_strings(spark):
     bad = "</s>[INST] \\( \\\\[ <turn>[/ROLE] \\"
     rows = [(1, 0, "user", bad), (1, 1, "user", None), (1, 2, "assistant", bad), (1, 3, "assistant", "b"), (2, 0, None, "x"), (None, 0, "assistant", "y")]
@@ -256,9 +320,19 @@ def test_crf_held_out_accuracy(spark, empty, odd):
     model = crf.fit(docs)
     told = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in crf.identify(odd, model).collect()}
     assert told[1] == told[2] == told[3] == ("und", 0.0) and 0 < told[5][1] <= 1
+    letters = spark.createDataFrame([(1, "½ ²"), (2, "12 ٣ _"), (3, "½ x")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in crf.identify(letters, model).collect()} == {1: True, 2: True, 3: False}
     assert crf.fit(empty) is None and crf.identify(odd, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_crf_draws_runs_from_whole_texts():
+    text = " ".join(f"w{i}" for i in range(5000))
+    runs = crf.draw_runs(text, 240)
+    assert len(runs) == 20 and all(len(r) == crf.RUN for r in runs)
+    assert sum(int(r[0][1:]) >= 2500 for r in runs) >= 4
+    assert crf.draw_runs("a b", 240) == [["a", "b"]] and crf.draw_runs("", 240) == []
+
+
 def test_forward_backward_is_enumeration():
     rng = np.random.default_rng(0)
     e, m, s = rng.normal(size=(5, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
