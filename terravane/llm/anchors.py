@@ -9,7 +9,7 @@ the other, and comparing homes with replicas per anchor finds the pair.
 ``links`` finds all pairs that differ in at most 4 of 64 bits, exactly: of three blocks (21, 21 and 22 bits) one differs
 in at most ``floor(4 / 3)`` = 1 bit. ``similar`` finds texts whose shingle sets are similar to a share: such sets'
 SimHash bits differ with a known chance, so it takes longer fingerprints, with blocks of about as many bits as the
-number of texts has (an anchor then has the same few rows at every size) and as many blocks as the wanted
+number of texts has (an anchor then has about as many rows at every size) and as many blocks as the wanted
 recall needs; candidates are confirmed by the exact similarity of both sets.
 
 Anchors of many rows are split into cells of homes and replicas, so that no task holds or compares them all.
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components, slices
+from .common import Workspace, connected_components, held, slices
 
 THRESHOLD = 4
 #: Blocks of a fingerprint: word, lowest bit, bits.
@@ -83,6 +83,7 @@ def fingerprints(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long. Null text counts as empty."""
 
     def work(batches):
+        held("anchors", object)
         for b in slices(batches):
             fp = np.array([simhash64(t, width, seed) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
@@ -283,7 +284,7 @@ def chance(similarity: float) -> float:
 
 def layout(n: int, similarity: float, recall: float = 0.98) -> list[tuple[int, int, int]]:
     """Blocks of a long fingerprint by which, of two sets of that similarity among n, one block differs in at most 1 bit with the chance ``recall``."""
-    bits = min(32, max(HAMMING + 1, math.ceil(math.log2(max(2, n)))))
+    bits = min(32, max(HAMMING + 1, math.ceil(math.log2(max(2, n))) - 2))
     p = chance(similarity)
     one = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
     number = math.ceil(math.log(1 - recall) / math.log(1 - one))
@@ -316,6 +317,7 @@ def _marks(docs: DataFrame, words: int, width: int, seed: int) -> DataFrame:
     """(doc_id, row, node, size, words) of every row; row: a hash of its text, node: of its set, words: the set's fingerprint."""
 
     def work(batches):
+        held("anchors", object)  # another operator's tables make room
         for b in slices(batches):
             sets = [shingle_set(t, width, seed) for t in b.column(2).to_pylist()]
             fps = np.array([_long_fingerprint(s, words) for s in sets], np.uint64).reshape(-1, words).view(np.int64)
@@ -344,23 +346,32 @@ def _confirmed(work: Workspace, docs: DataFrame, rows: DataFrame, found: DataFra
     return work.table(both.where(F.col("n") * sum(share) >= F.col("total") * share[0]).select("u", "v"), f"{name}-links")
 
 
-def _close(limits: tuple[int, int], share: tuple[int, int]):
-    """Pairs whose sizes allow the similarity and whose fingerprints differ in few enough bits: of the first word, and of all where they are given."""
-    one, every = limits
+def _limit(p: float, words: int) -> int:
+    """Differing bits of so many words, three deviations above the mean for bits that differ with chance p."""
+    n = 64 * words
+    return math.ceil(p * n + 3 * math.sqrt(p * (1 - p) * n))
+
+
+def _close(limit: int):
+    """Pairs whose words together differ in at most so many bits."""
+
+    def accept(fp, words, a, b):
+        off = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)
+        for w in words:
+            off += np.bitwise_count(w[a] ^ w[b])
+        return off <= limit
+
+    return accept
+
+
+def _apart(limit: int, share: tuple[int, int]):
+    """The same for pairs of different labels whose sizes allow the similarity."""
+    near = _close(limit)
 
     def accept(fp, extra, a, b):
-        size, *label_words = extra
-        ok = np.minimum(size[a], size[b]) * share[1] >= np.maximum(size[a], size[b]) * share[0]
-        ok &= np.bitwise_count(fp[a] ^ fp[b]) <= one
-        if label_words and ok.any():
-            label, *words = label_words
-            ok &= label[a] != label[b]
-            at = np.flatnonzero(ok)
-            off = np.bitwise_count(fp[a[at]] ^ fp[b[at]]).astype(np.int64)
-            for w in words:
-                off += np.bitwise_count(w[a[at]] ^ w[b[at]])
-            ok[at[off > every]] = False
-        return ok
+        size, label, *words = extra
+        ok = (label[a] != label[b]) & (np.minimum(size[a], size[b]) * share[1] >= np.maximum(size[a], size[b]) * share[0])
+        return ok & near(fp, words, a, b)
 
     return accept
 
@@ -378,23 +389,21 @@ def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (4, 5
     """
     work = Workspace(spark, "similar")
     blocks = layout(docs.select("doc_id").count(), share[0] / share[1], recall)
-    n_words = blocks[-1][0] + 1
-    # three deviations beyond the mean number of differing bits
+    n_words = max(2, blocks[-1][0] + 1)
     p = chance(share[0] / share[1])
-    limits = tuple(math.ceil(p * m + 3 * math.sqrt(p * (1 - p) * m)) for m in (64, 64 * n_words))
     marked = work.table(_marks(docs, n_words, width, seed), "marked")
     different = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("row").alias("row"), F.first("size").alias("size"), F.first("words").alias("words"))
-    different = work.table(different, "different")
+    different = work.table(different.select("*", *(F.get("words", F.lit(k)).alias(f"w{k}") for k in range(1, n_words))), "different")
     rows, some = different.select("node", "row"), different.where("size > 0")
-    found = work.table(_pairs(work, "turn1", some, blocks, _close(limits, share), True, ("size",)), "forest")
+    found = work.table(_pairs(work, "turn1", some, blocks, _close(_limit(p, 2)), True, ("w1",)), "forest")
     links1 = _confirmed(work, docs, rows, found, share, width, seed, "turn1")
     labels = connected_components(work, links1, "cc1")
     ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    live = some.join(ends, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    live = work.table(live.select("node", "size", "label", "words", *(F.get("words", F.lit(k)).alias(f"w{k}") for k in range(1, n_words))), "live")
+    live = work.table(some.join(ends, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "live")
     extra = ("size", "label", *(f"w{k}" for k in range(1, n_words)))
-    links2 = _confirmed(work, docs, rows, _pairs(work, "turn2", live, blocks, _close(limits, share), False, extra), share, width, seed, "turn2")
+    links2 = _confirmed(work, docs, rows, _pairs(work, "turn2", live, blocks, _apart(_limit(p, n_words), share), False, extra), share, width, seed, "turn2")
     labels = connected_components(work, links1.unionByName(links2), "cc2")
+    work.drop("forest", "live", "turn1-pairs", "turn2-pairs", "turn1-sets", "turn2-sets")
     joined = different.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     smallest = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
     classes = work.table(joined.join(smallest, "label").select("node", "component_id"), "classes")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices
+from .common import Workspace, held, slices
 
 DOMAINS = ("clean", "low", "toxic")
 #: Share of tokens that each domain is to have.
@@ -117,6 +117,7 @@ def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """(doc_id, row, tokens, p array<double>) of each row's whole text; row is its xxhash64. Null text is empty: no tokens."""
 
     def work(batches):
+        held("mixing", object)  # another operator's tables make room
         for b in slices(batches):
             found = [classifier.posteriors(t) for t in b.column(2).to_pylist()]
             p = pa.array([x[1].tolist() for x in found], pa.list_(pa.float64()))
