@@ -91,11 +91,14 @@ def non_crossing(mi: Column, *bounds: int) -> Column:
     return out
 
 
-def search_score(c: Column, asked: str) -> Column:
-    """Points of a text for a search (M14): 6 for each asked word that it has, 4 for one that begins a word, 1 for a part, 10 more if it is the same."""
+def search_score(c: Column, asked: str, surname: bool = False) -> Column:
+    """Points of a text for a search (M14): 6 for each asked word that it has, 4 for one that begins a word, 1 for a part, 10
+    more if it is the same, and for names of people 12 more if its last word is the last one asked."""
     name = norm(c)
     words = F.split(name, " ")
     out = F.when(name == asked, 10).otherwise(0)
     for t in asked.split():
         out = out + F.when(F.array_contains(words, t), 6).when(F.contains(F.concat(F.lit(" "), name), F.lit(" " + t)), 4).when(F.contains(name, F.lit(t)), 1).otherwise(0)
+    if surname and asked.split():
+        out = out + F.when(F.element_at(words, -1) == asked.split()[-1], 12).otherwise(0)
     return out

@@ -1,10 +1,10 @@
-"""Distances and spatial joins on grid cells."""
+"""Distances and spatial joins on grid cells."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EARTH_MILES = 3958.8
@@ -23,44 +23,83 @@ def flat_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
     return F.hypot(DEGREE * (lat2 - lat1), DEGREE * F.cos(F.radians(lat1)) * (lon2 - lon1))
 
 
-def radius_join(left: DataFrame, right: DataFrame, r: float, metric=flat_miles, alias: str = "mi", to: float = 70.0) -> DataFrame:
+def flat_miles_round(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """The same across longitude 180: the shorter way round."""
+    d = F.abs(lon2 - lon1)
+    return F.hypot(DEGREE * (lat2 - lat1), DEGREE * F.cos(F.radians(lat1)) * F.least(d, 360 - d))
+
+
+#: Cells of longitude are as wide as the radius is at a band's far latitude, for bands that end here (degrees).
+BANDS = (30.0, 45.0, 55.0, 63.0, 70.0, 75.0, 80.0, 84.0, 87.0)
+
+
+def radius_join(left: DataFrame, right: DataFrame, r: float, metric=flat_miles_round, alias: str = "mi") -> DataFrame:
     """Pairs within r miles: (all of left, all of right, mi). Columns lat, lon are lat_l, lon_l and lat_r, lon_r.
 
-    Cells are r miles high and, at latitude ``to``, r miles wide, so all partners up to that latitude lie in
-    the 3 x 3 cells around; the right side is copied to these and met by an equi join. Left rows beyond the
-    latitude are not supported.
+    Cells are r miles high. How many go round a parallel depends on the latitude's band, so they are r miles wide at the band's
+    far end; beyond the last band there is one. The right side is copied to the cells around it, in each band that is within r of
+    it, and met by an equi join; longitudes wrap. Rows without coordinates meet nothing.
     """
-    step_lat = r / DEGREE * 1.0001
-    step_lon = r / (DEGREE * math.cos(math.radians(to))) * 1.0001
-    a = left.withColumnsRenamed({"lat": "lat_l", "lon": "lon_l"}).withColumn("__y", F.floor(F.col("lat_l") / step_lat)).withColumn("__x", F.floor(F.col("lon_l") / step_lon))
-    b = right.withColumnsRenamed({"lat": "lat_r", "lon": "lon_r"}).withColumn("__dy", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("__dx", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    b = b.withColumn("__y", F.floor(F.col("lat_r") / step_lat) + F.col("__dy")).withColumn("__x", F.floor(F.col("lon_r") / step_lon) + F.col("__dx")).drop("__dy", "__dx")
-    return a.join(b, ["__y", "__x"]).drop("__y", "__x").withColumn(alias, metric(F.col("lat_l"), F.col("lon_l"), F.col("lat_r"), F.col("lon_r"))).where(F.col(alias) <= r)
+    step = r / DEGREE * 1.0001
+    wide = [max(1, int(360.0 / (step / math.cos(math.radians(min(89.0, b + step)))))) for b in BANDS] + [1]
+    number = lambda lat: sum((F.abs(lat) > b).cast("int") for b in BANDS)
+    cells = F.array(*map(F.lit, wide))
+    column = lambda lon, n: F.pmod(F.floor((lon + 180) / 360 * n), n)
+    a = left.withColumnsRenamed({"lat": "lat_l", "lon": "lon_l"}).withColumn("__b", number(F.col("lat_l"))).withColumn("__y", F.floor(F.col("lat_l") / step))
+    a = a.withColumn("__x", column(F.col("lon_l"), F.get(cells, F.col("__b"))))
+    b = right.withColumnsRenamed({"lat": "lat_r", "lon": "lon_r"})
+    low, high = F.greatest(F.abs(F.col("lat_r")) - step, F.lit(0.0)), F.abs(F.col("lat_r")) + step
+    b = b.withColumn("__b", F.explode(F.sequence(number(low), number(high)))).withColumn("__y", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.floor(F.col("lat_r") / step) + k)))
+    n = F.get(cells, F.col("__b"))
+    b = b.withColumn("__x", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.pmod(column(F.col("lon_r"), n) + k, n)))))
+    return a.join(b, ["__b", "__y", "__x"]).drop("__b", "__y", "__x").withColumn(alias, metric(F.col("lat_l"), F.col("lon_l"), F.col("lat_r"), F.col("lon_r"))).where(F.col(alias) <= r)
 
 
 def nearest(pairs: DataFrame, left_id: str, right_id: str, mi: str = "mi", k: int = 1) -> DataFrame:
-    """The k nearest of a list of pairs, ties by the smaller id (J7, W9): (left_id, rank, right_id, mi)."""
-    best = F.slice(F.sort_array(F.collect_list(F.struct(mi, right_id))), 1, k)
+    """The k nearest of a list of pairs, ties by the smaller id (J7, W9): (left_id, rank, right_id, mi).
+
+    For one it is a grouped minimum, for more a rank with a limit on each side of the shuffle.
+    """
     if k == 1:
-        best = F.array(F.min(F.struct(mi, right_id)))
-    found = pairs.groupBy(left_id).agg(best.alias("b"))
-    return found.select(left_id, F.posexplode("b").alias("pos", "x")).select(left_id, (F.col("pos") + 1).alias("rank"), F.col(f"x.{right_id}"), F.col(f"x.{mi}"))
+        best = pairs.groupBy(left_id).agg(F.min(F.struct(mi, right_id)).alias("b"))
+        return best.select(left_id, F.lit(1).alias("rank"), F.col(f"b.{right_id}"), F.col(f"b.{mi}"))
+    place = F.row_number().over(Window.partitionBy(left_id).orderBy(mi, right_id))
+    return pairs.select(left_id, right_id, mi).withColumn("rank", place).where(F.col("rank") <= k).select(left_id, "rank", right_id, mi)
 
 
-def nearest_in_widening_rings(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radii: tuple[float, ...], metric=flat_miles) -> DataFrame:
-    """Nearest right row of each left one, by radius joins of growing radius over those without an answer."""
+def nearest_in_widening_rings(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radii: tuple[float, ...], metric=flat_miles_round, k: int = 1) -> DataFrame:
+    """The k nearest right rows of each left one, by radius joins of growing radius over those that haven't k yet.
+
+    A left row takes what the last radius holds where that is fewer than k: ``radii`` must end with the farthest that counts.
+    """
     out, rest = None, left
-    for r in radii:
-        got = nearest(radius_join(rest, right, r, metric), left_id, right_id)
+    for i, r in enumerate(radii):
+        got = nearest(radius_join(rest, right, r, metric), left_id, right_id, k=k)
+        if i < len(radii) - 1:
+            full = got.groupBy(left_id).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= k).select(left_id)
+            got = got.join(full, left_id, "left_semi")
+            rest = rest.join(full, left_id, "left_anti")
         out = got if out is None else out.unionByName(got)
-        rest = rest.join(got.select(left_id), left_id, "left_anti")
     return out
 
 
 def distinct_within(pairs: DataFrame, place: str, mi: str, items: DataFrame, target: str, item: str, bands: tuple[float, ...]) -> DataFrame:
     """Different items at targets within each band of a place (A10, F18): columns within_<band>.
 
-    Each item counts at its least distance, so one grouped minimum serves all bands.
+    An item of a single target is counted by the target: a number a target, whatever the places. Only items of several
+    targets are met with places, one row for each, at their least distance.
     """
-    best = pairs.join(items.select(target, item).distinct(), target).groupBy(place, item).agg(F.min(mi).alias("__mi"))
-    return best.groupBy(place).agg(*(F.count(F.when(F.col("__mi") <= b, 1)).alias(f"within_{b:g}") for b in bands))
+    own = items.select(target, item).distinct()
+    spread = own.groupBy(item).agg(F.count(F.lit(1)).alias("__n"), F.min(target).alias("__t"))
+    single = spread.where("__n = 1").groupBy(F.col("__t").alias(target)).agg(F.count(F.lit(1)).alias("__k"))
+    near = pairs.groupBy(place, target).agg(F.min(mi).alias("__mi"))
+    alone = near.join(single, target).groupBy(place).agg(*(F.sum(F.when(F.col("__mi") <= b, F.col("__k")).otherwise(0)).alias(f"a{i}") for i, b in enumerate(bands)))
+    shared = own.join(spread.where("__n > 1").select(item), item, "left_semi")
+    # items that lie at the same targets are one class: classes meet places, with how many items they stand for
+    sets = shared.groupBy(item).agg(F.array_sort(F.collect_list(target)).alias("__set")).groupBy("__set").agg(F.count(F.lit(1)).alias("__k"))
+    sets = sets.withColumn("__class", F.xxhash64("__set", F.size("__set"), F.get("__set", F.lit(0))))
+    classes = sets.select("__class", "__k", F.explode("__set").alias(target))
+    best = near.join(classes, target).groupBy(place, "__class").agg(F.min("__mi").alias("__mi"), F.first("__k").alias("__k"))
+    several = best.groupBy(place).agg(*(F.sum(F.when(F.col("__mi") <= b, F.col("__k")).otherwise(0)).alias(f"b{i}") for i, b in enumerate(bands)))
+    both = alone.join(several, place, "full_outer")
+    return both.select(place, *((F.coalesce(f"a{i}", F.lit(0)) + F.coalesce(f"b{i}", F.lit(0))).alias(f"within_{b:g}") for i, b in enumerate(bands)))

@@ -99,3 +99,8 @@ def facets(df: DataFrame, x: str, domain: DataFrame) -> DataFrame:
     """Counts of a column's values, 0 for those of the domain that don't occur."""
     counts = df.groupBy(x).agg(F.count(F.lit(1)).alias("n"))
     return domain.select(x).distinct().join(counts, x, "left").select(x, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def enough(df: DataFrame, n: str, least: int) -> DataFrame:
+    """Rows of groups that are large enough for their figures to be told."""
+    return df.where(F.col(n) >= least)

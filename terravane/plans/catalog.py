@@ -35,6 +35,10 @@ class Table:
     default: tuple[str, ...] = ()
     weight: str | None = None
     source: str = ""
+    #: Tables whose rows stand beside those of a comparison: (table, own field that has their id; empty: all rows).
+    references: tuple[tuple[str, str], ...] = ()
+    #: Related rows of a profile: (name, table, own field, their field); either may be a list.
+    relations: tuple[tuple[str, str, str, str], ...] = ()
     by_path: dict = field(init=False, compare=False, hash=False)
 
     def __post_init__(self):

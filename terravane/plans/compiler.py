@@ -59,10 +59,26 @@ def _typed(f: Field) -> Column:
 
 
 def _equal(f: Field, value) -> Column:
-    v = _literal(f, value)
+    """False where the two can't be compared; a list is no scalar."""
+    v = None if f.kind == "array" else _literal(f, value)
     return F.lit(False) if v is None else _typed(f) == F.lit(v)
 
 
+def _sort_of(f: Field) -> str:
+    return "number" if f.kind in NUMBERS else "text" if f.kind in ("string", "date") else f.kind
+
+
+def _two_columns(f: Field, other: Field, op: str) -> Column:
+    """Columns of one sort compare as they are; a number and a text as numbers where the text is one, else they don't."""
+    kinds = {_sort_of(f), _sort_of(other)}
+    if "array" in kinds or len(kinds) == 2 and kinds != {"number", "text"}:
+        return F.lit(op == "!=") & F.col(f.path).isNotNull() & F.col(other.path).isNotNull()
+    a, b = (_typed(x).try_cast("double") if len(kinds) == 2 else _typed(x) for x in (f, other))
+    if op == "!=":
+        return F.col(f.path).isNotNull() & F.col(other.path).isNotNull() & ~F.coalesce(a == b, F.lit(False))
+    return {"=": a == b, ">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b}[op]
+
+
 def _condition(table: Table, node: dict, states: dict[str, str], fields: list[str], warnings: list[str]) -> Column:
     f, op = find(table, node.get("field")), node.get("op", "=")
     if op not in OPS:
@@ -78,11 +94,9 @@ def _condition(table: Table, node: dict, states: dict[str, str], fields: list[st
     if isinstance(value, dict):  # another column
         other = find(table, value.get("field"))
         fields.append(other.path)
-        a, b = _typed(f), _typed(other)
-        tests = {"=": a == b, "!=": a != b, ">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b}
-        if op not in tests:
-            raise QueryError(f"{op} doesn't compare columns", list(tests))
-        return tests[op]
+        if op not in ("=", "!=", ">", ">=", "<", "<="):
+            raise QueryError(f"{op} doesn't compare columns", ["=", "!=", ">", ">=", "<", "<="])
+        return _two_columns(f, other, op)
     if f.state:
         fix = lambda v: states.get(str(v).lower(), v)
         value = [fix(v) for v in value] if isinstance(value, list) else fix(value)
@@ -105,7 +119,7 @@ def _condition(table: Table, node: dict, states: dict[str, str], fields: list[st
     bounds = value if op == "between" else [value]
     if op == "between" and not (isinstance(value, list) and len(value) == 2):
         raise QueryError("between needs two values")
-    own = [_literal(f, v) for v in bounds]
+    own = [None if f.kind == "array" else _literal(f, v) for v in bounds]
     if None in own:
         return F.lit(False)
     a = _typed(f)
