@@ -509,4 +509,4 @@ def g17_majority(spark: SparkSession, d: str) -> DataFrame:
 
 
 # the other modules of queries, which use this one's tables
-from . import queries_fields, queries_sites, queries_tables  # noqa: E402, F401
+from . import queries_fields, queries_sites, queries_sources, queries_tables  # noqa: E402, F401
