@@ -82,7 +82,7 @@ def test_readers_and_sinks(spark, tmp_path):
     assert readers.assignment_json(spark, str(tmp_path / "c.js"), "n int").head()[0] == 3
     (tmp_path / "d.csv").write_text("Report\n01001,2.5\nnote\n")
     assert [tuple(r) for r in readers.report(spark, str(tmp_path / "d.csv"), r"^\d{5},", "k string, v double").collect()] == [("01001", 2.5)]
-    assert readers.pick(["First Name", "ZIP"], "zip_code", "zip") == "ZIP"
+    assert readers.aliases(["First Name", "ZIP"], {"zip": ("zip_code", "zip")}) == {"zip": "ZIP"}
     df = spark.range(2)
     assert [sinks.archive(spark, df, str(tmp_path / "s"), "2020-01-01") for _ in range(2)] == ["2020-01-01", "2020-01-01-2"]
 
