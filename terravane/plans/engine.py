@@ -189,6 +189,7 @@ class Engine:
         """states: code by lower-case name or code; choices: allowed values of methods' parameters."""
         self.tables: dict[str, tuple[Table, DataFrame]] = {}
         self.states, self.calls, self.methods = states or {}, {}, {}
+        self.ranked: dict[int, list | None] = {}
         self.library, self.choices, self.topics = dict(library.METHODS), choices or {}, {}
         self.places, self.items = None, None
 
@@ -229,6 +230,13 @@ class Engine:
         except QueryError as e:
             return e.as_dict()
 
+    def highlighted(self, call: int) -> DataFrame:
+        """(id) of what a call's answer is about (T4): the rows told of a ranking, all matching rows of a filter."""
+        if call not in self.calls:
+            raise QueryError(f"no call {call}", sorted(self.calls))
+        ids = self.calls[call].select("id")
+        return ids if self.ranked[call] is None else ids.where(F.col("id").isin(self.ranked[call]))
+
     def _find_places(self, spec: dict) -> dict:
         if self.places is None:
             raise QueryError("no places are known")
@@ -252,6 +260,7 @@ class Engine:
         w = compile_where(table, spec.get("where"), self.states)
         got, c = [r.asDict(True) for r in rows.collect()], counts.head().asDict()
         self.calls[len(self.calls) + 1] = query_frame(table, df, spec, self.states, limited=False)[0]
+        self.ranked[len(self.calls)] = [r["id"] for r in got if "id" in r] if spec.get("order_by") else None
         out = {"table": table.name, "call": len(self.calls), "count": c["count"], "in_scope": c["in_scope"], "returned": len(got), "columns": columns, "rows": got, "nulls": {k[6:]: v for k, v in c.items() if k.startswith("nulls_")}, "ids_truncated": c["count"] > len(got), "sum_weight_matching": c["sum_weight_matching"], "source": table.source}
         return out | ({"warnings": w.warnings} if w.warnings else {})
 

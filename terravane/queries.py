@@ -335,22 +335,37 @@ def g2_components_whole(spark: SparkSession, d: str) -> DataFrame:
 
 def _roads(spark, d) -> DataFrame:
     li = _t(spark, d, "lineitem")
-    return li.groupBy(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v")).agg(F.min("l_quantity").alias("mi")).withColumn("hr", F.col("mi") / 50)
+    return li.groupBy(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v")).agg(F.min("l_quantity").alias("mi")).withColumn("hr", F.col("mi") / 64)
 
 
-@query()
+@query("""with recursive e as (select l_suppkey as u, l_partkey + 1000000 as v, min(l_quantity) as mi from lineitem group by 1, 2), b as (select u, v, mi from e union all select v, u, mi from e),
+s as (select s_suppkey as node from supplier where s_acctbal > 5000),
+r(node, mi) as (select node, 0.0::double from s union select b.v, r.mi + b.mi from r join b on b.u = r.node where r.mi + b.mi <= 60), best as (select node, min(mi) as mi from r group by 1),
+t(node, src) as (select node, node from s union select b.v, t.src from t join best x on x.node = t.node join b on b.u = t.node join best y on y.node = b.v where y.mi = x.mi + b.mi)
+select node, mi, mi / 64 as hr, min(src) as src from best join t using (node) group by 1, 2""")
 def g4_nearest_source(spark: SparkSession, d: str) -> DataFrame:
     """Miles and hours to the nearest of the suppliers of large balance, within 60 miles."""
     sources = _t(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("node"))
     return graph.nearest_source(spark, _roads(spark, d), sources, within=60.0)
 
 
-@query()
+def _greedy_sql(steps: int) -> str:
+    """The steps one after another: u<k> are the pairs of customers not covered by the first k."""
+    parts = [f"{_PAIRS}, u0 as (select s_id, c_id, c_acctbal as w from pairs join customer on c_custkey = c_id where mi <= 120 and c_acctbal > 0)"]
+    for k in range(1, steps + 1):
+        parts.append(f"s{k} as (select s_id, sum(w) as gain from u{k - 1} group by 1 order by round(gain, 4) desc, s_id limit 1)")
+        parts.append(f"u{k} as (select * from u{k - 1} where c_id not in (select c_id from u{k - 1} where s_id = (select s_id from s{k})))")
+    rows = " union all ".join(f"select {k} as step, s_id as candidate, round(gain, 4) as gain from s{k} where gain > 0" for k in range(1, steps + 1))
+    return f"with {', '.join(parts)} {rows}"
+
+
+@query(_greedy_sql(5))
 def g13_greedy_cover(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers that cover most weight of customers within 120 miles."""
     pairs = geo.radius_join(_points(spark, d, "c"), _points(spark, d, "s"), 120.0)
     weights = _t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("unit"), F.col("c_acctbal").alias("w"))
-    return graph.greedy_cover(spark, pairs.select(F.col("s_id").alias("candidate"), F.col("c_id").alias("unit")), weights, steps=5)
+    out = graph.greedy_cover(spark, pairs.select(F.col("s_id").alias("candidate"), F.col("c_id").alias("unit")), weights, steps=5)
+    return out.select("step", "candidate", F.round("gain", 4).alias("gain"))
 
 
 @query(f"""with {_PLACES}, g as (select nation, n, case when nation % 5 = 0 then 0.0 else w end as w from places), v as (select nation, n, sum(w) as w from g where w > 0 group by 1, 2),

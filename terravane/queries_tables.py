@@ -304,10 +304,10 @@ def r12_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return quality.reconcile(li, totals, "l_suppkey", "q").select("l_suppkey", F.round("pct", 6).alias("pct"))
 
 
-@query("select l_suppkey, list_sort(list(distinct l_returnflag)) as flags, count(distinct l_partkey) as parts from lineitem group by 1")
+@query("select l_suppkey, array_to_string(list_sort(list(distinct l_returnflag)), ',') as flags, count(distinct l_partkey) as parts from lineitem group by 1")
 def a27_sets(spark: SparkSession, d: str) -> DataFrame:
     """Sets as aggregates."""
-    return _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("flags"), F.count_distinct("l_partkey").alias("parts"))
+    return _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags"), F.count_distinct("l_partkey").alias("parts"))
 
 
 @query("select value, count(*) as n, min(p_partkey) as first, max(p_partkey) as last from (select p_partkey, unnest(list_distinct(string_split(p_name, ' '))) as value from part) group by 1")

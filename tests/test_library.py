@@ -135,6 +135,13 @@ def test_incomparable_is_false_and_never_raises(engine):
     assert engine.run("query", {"table": "counties", "where": [{"field": "districts", "op": "!=", "value": {"field": "name"}}]})["count"] == 3
 
 
+def test_highlighted(engine):
+    ranking = engine.run("query", {"table": "counties", "order_by": "pop55", "limit": 1})["call"]
+    matching = engine.run("query", {"table": "counties", "where": {"field": "state", "op": "=", "value": "TX"}, "limit": 1})["call"]
+    assert [r["id"] for r in engine.highlighted(ranking).collect()] == ["48215"]
+    assert {r["id"] for r in engine.highlighted(matching).collect()} == {"48215", "48201"}
+
+
 def test_fitted_and_explained():
     answer = {"rows": [{"x": "y" * 100} for _ in range(500)], "more": {"list": list(range(50))}}
     assert size_of(fitted(answer, 5_000)) <= 5_000 and answer["truncated"].startswith("rows cut to") and len(answer["more"]["list"]) == 50
