@@ -327,23 +327,95 @@ def _marks(docs: DataFrame, words: int, width: int, seed: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInArrow(work, "doc_id long, row long, node long, size long, words array<long>")
 
 
-def _confirmed(work: Workspace, docs: DataFrame, rows: DataFrame, found: DataFrame, share: tuple[int, int], width: int, seed: int, name: str) -> DataFrame:
-    """Those of the pairs (u, v) whose sets are as similar as share[0] / share[1]. rows: (node, row), row a hash of a text that has the set."""
+def _sets(docs: DataFrame, rows: DataFrame, width: int, seed: int) -> DataFrame:
+    """(node, own): the sets of the nodes of ``rows`` (node, row), row a hash of a text that has the set."""
 
     def sets_of(batches):
         for b in slices(batches):
             sets = [shingle_set(t, width, seed) for t in b.column(0).to_pylist()]
-            own = pa.array([s.view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))
+            own = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(_digests(sets)), own], ["node", "own"])
 
-    found = work.table(found, f"{name}-pairs")
-    ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = docs.select("text", F.xxhash64("text").alias("row")).join(rows.join(ends, "node").select("row"), "row", "left_semi")
-    sets = work.table(texts.groupBy("row").agg(F.first("text").alias("text")).select("text").mapInArrow(sets_of, "node long, own array<long>").dropDuplicates(["node"]), f"{name}-sets")
-    both = found.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
-    both = both.select("u", "v", F.size(F.array_intersect("a", "b")).cast("long").alias("n"), (F.size("a") + F.size("b")).cast("long").alias("total"))
-    # n / (total - n) >= share[0] / share[1]
-    return work.table(both.where(F.col("n") * sum(share) >= F.col("total") * share[0]).select("u", "v"), f"{name}-links")
+    texts = docs.select("text", F.xxhash64("text").alias("row")).join(rows.select("row"), "row", "left_semi")
+    return texts.groupBy("row").agg(F.first("text").alias("text")).select("text").mapInArrow(sets_of, "node long, own array<long>").dropDuplicates(["node"])
+
+
+def _exact_links(nodes: np.ndarray, side: np.ndarray, words: np.ndarray, sets: list[np.ndarray], share: tuple[int, int], limit: int, block: int = 128):
+    """A spanning forest of the pairs whose sets are as similar as share[0] / share[1], as (u, v).
+
+    Pairs are tried in blocks, those of few differing bits first, and only while they aren't joined yet. With two
+    sides only pairs across them are tried.
+    """
+    n, size = len(nodes), np.array([len(s) for s in sets])
+    root, kept = list(range(n)), []
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    across = len(np.unique(side)) > 1
+    for at in range(0, n, block):
+        own = slice(at, min(n, at + block))
+        off = np.zeros((own.stop - at, n - at), np.uint16)
+        for w in range(words.shape[1]):
+            off += np.bitwise_count(words[own, w, None] ^ words[None, at:, w])
+        ok = (off <= limit) & (np.minimum(size[own, None], size[None, at:]) * share[1] >= np.maximum(size[own, None], size[None, at:]) * share[0])
+        ok &= np.arange(n - at)[None, :] > np.arange(own.stop - at)[:, None]
+        if across:
+            ok &= side[own, None] != side[None, at:]
+        i, j = np.nonzero(ok)
+        order = np.argsort(off[i, j], kind="stable")
+        for a, b in zip((i[order] + at).tolist(), (j[order] + at).tolist()):
+            x, y = find(a), find(b)
+            if x != y:
+                small, large = (sets[a], sets[b]) if size[a] < size[b] else (sets[b], sets[a])
+                found = np.searchsorted(large, small)
+                common = int((large[np.minimum(found, len(large) - 1)] == small).sum())
+                if common * sum(share) >= (len(small) + len(large)) * share[0]:
+                    root[max(x, y)] = min(x, y)
+                    kept.append((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
+    return kept
+
+
+def _linked(work: Workspace, members: DataFrame, share: tuple[int, int], limit: int, most: int) -> DataFrame:
+    """(u, v): links of the members (cluster, node, words, own), found within clusters.
+
+    Clusters of over ``most`` members are cut into chunks, and each two chunks meet in a cell, so that no task holds a
+    whole large cluster. Only a spanning forest of a cell's links comes out.
+    """
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    sizes = work.table(sizes.select("cluster", F.ceil(F.col("n") / most).cast("int").alias("c")), "crowds")
+    if sizes.head(1):
+        mine = F.pmod(F.xxhash64("node"), F.col("c")).cast("int")
+        cells = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda k: F.struct((F.least(mine, k) * F.col("c") + F.greatest(mine, k)).alias("cell"), F.when(mine < k, 0).when(mine > k, 1).otherwise(0).alias("side")))
+        one = F.array(F.struct(F.lit(0).alias("cell"), F.lit(0).alias("side")))
+        members = members.join(sizes, "cluster", "left").withColumn("p", F.explode(F.when(F.col("c").isNull(), one).otherwise(cells)))
+        members = members.select("cluster", "p.cell", "p.side", "node", "words", "own")
+    else:
+        members = members.select("cluster", F.lit(0).alias("cell"), F.lit(0).alias("side"), "node", "words", "own")
+
+    def run(batches):
+        key, rows = None, []
+
+        def done():
+            kept = _exact_links(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]).view(np.uint64), [r[3].view(np.uint64) for r in rows], share, limit)
+            if kept:
+                u, v = zip(*kept)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for b in batches:
+            sets, words = b.column(5), b.column(4)
+            for i, (cluster, cell, side, node) in enumerate(zip(*(b.column(k).to_pylist() for k in range(4)))):
+                if (cluster, cell) != key:
+                    if len(rows) > 1:
+                        yield from done()
+                    key, rows = (cluster, cell), []
+                rows.append((node, side, words[i].values.to_numpy(zero_copy_only=False), sets[i].values.to_numpy(zero_copy_only=False).copy()))
+        if len(rows) > 1:
+            yield from done()
+
+    return members.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell").mapInArrow(run, "u long, v long").distinct()
 
 
 def _limit(p: float, words: int) -> int:
@@ -364,19 +436,7 @@ def _close(limit: int):
     return accept
 
 
-def _apart(limit: int, share: tuple[int, int]):
-    """The same for pairs of different labels whose sizes allow the similarity."""
-    near = _close(limit)
-
-    def accept(fp, extra, a, b):
-        size, label, *words = extra
-        ok = (label[a] != label[b]) & (np.minimum(size[a], size[b]) * share[1] >= np.maximum(size[a], size[b]) * share[0])
-        return ok & near(fp, words, a, b)
-
-    return accept
-
-
-def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (4, 5), width: int = 5, seed: int = 42, recall: float = 0.98) -> DataFrame:
+def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (4, 5), width: int = 5, seed: int = 42, recall: float = 0.98, most: int = 4_000) -> DataFrame:
     """(doc_id, row, component_id) of every row of ``docs`` (doc_id, text, others are ignored); row is xxhash64 of text.
 
     Rows link where the Jaccard similarity of their shingle sets is share[0] / share[1] or more; a link of just
@@ -384,8 +444,8 @@ def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (4, 5
     no link is wrong. component_id is the smallest doc_id that links reach, null where there is none. Texts without a
     word are equal to each other. An empty table gives an empty result.
 
-    First the spanning forests of candidates at each anchor are confirmed, so large groups don't come out as
-    all their pairs; then the pairs of those candidates that this hasn't joined.
+    The spanning forests of candidates at each anchor join texts to clusters, outside of which there are no
+    candidates; within a cluster pairs are confirmed by their sets where these lie together.
     """
     work = Workspace(spark, "similar")
     blocks = layout(docs.select("doc_id").count(), share[0] / share[1], recall)
@@ -393,17 +453,14 @@ def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (4, 5
     p = chance(share[0] / share[1])
     marked = work.table(_marks(docs, n_words, width, seed), "marked")
     different = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("row").alias("row"), F.first("size").alias("size"), F.first("words").alias("words"))
-    different = work.table(different.select("*", *(F.get("words", F.lit(k)).alias(f"w{k}") for k in range(1, n_words))), "different")
-    rows, some = different.select("node", "row"), different.where("size > 0")
-    found = work.table(_pairs(work, "turn1", some, blocks, _close(_limit(p, 2)), True, ("w1",)), "forest")
-    links1 = _confirmed(work, docs, rows, found, share, width, seed, "turn1")
-    labels = connected_components(work, links1, "cc1")
-    ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    live = work.table(some.join(ends, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "live")
-    extra = ("size", "label", *(f"w{k}" for k in range(1, n_words)))
-    links2 = _confirmed(work, docs, rows, _pairs(work, "turn2", live, blocks, _apart(_limit(p, n_words), share), False, extra), share, width, seed, "turn2")
-    labels = connected_components(work, links1.unionByName(links2), "cc2")
-    work.drop("forest", "live", "turn1-pairs", "turn2-pairs", "turn1-sets", "turn2-sets")
+    different = work.table(different.withColumn("w1", F.get("words", F.lit(1))), "different")
+    found = work.table(_pairs(work, "near", different.where("size > 0"), blocks, _close(_limit(p, 2)), True, ("w1",)), "forest")
+    clusters = connected_components(work, found, "clusters").withColumnRenamed("label", "cluster")
+    live = work.table(different.select("node", "row", "words").join(clusters, "node"), "live")
+    members = work.table(live.select("cluster", "node", "words").join(_sets(docs, live.select("node", "row"), width, seed), "node"), "members")
+    links = work.table(_linked(work, members, share, _limit(p, n_words), most), "links")
+    labels = connected_components(work, links, "cc")
+    work.drop("forest", "live", "members")
     joined = different.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     smallest = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
     classes = work.table(joined.join(smallest, "label").select("node", "component_id"), "classes")
