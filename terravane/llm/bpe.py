@@ -180,7 +180,7 @@ class Encoder:
     of a piece as ``pieces.Cutter`` cuts them.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 300_000, longest_word: int = 64, window: int = 1 << 16):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 200_000, longest_word: int = 64, window: int = 1 << 16):
         self.v, self.machine, self.at_once = vocabulary, Transducer(vocabulary), window
         self.split = regex.compile(PATTERN).finditer
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocabulary.added, key=len, reverse=True)) + ")").split if vocabulary.added else None
@@ -265,11 +265,10 @@ class Decoder:
 class Digester:
     """(number of ids, SHA-256 of the ids as text, SHA-256 of the text decoded from them) of whole texts."""
 
-    def __init__(self, own: Encoder, most: int = 250_000):
+    def __init__(self, own: Encoder, most: int = 120_000):
         self.own, self.back, self.most = own, Decoder(own.v), most
         self.digits = {i: b"%d," % i for i in own.v.decoded}.__getitem__
         self.known: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
 
     def one(self, text: str) -> tuple[int, str, str]:
         """Of a text that is streamed: a window's tokens and bytes are held at a time."""
@@ -285,17 +284,15 @@ class Digester:
         return n, ids.hexdigest(), out.hexdigest()
 
     def _make(self, piece: str) -> tuple[int, bytes, bytes]:
-        if (found := self.old.get(piece)) is None:
-            ids = self.own.piece(piece)
-            found = len(ids), b"".join(map(self.digits, ids)), b"".join(map(self.own.v.decoded.__getitem__, ids))
-        return found
+        ids = self.own.piece(piece)
+        return len(ids), b"".join(map(self.digits, ids)), b"".join(map(self.own.v.decoded.__getitem__, ids))
 
     def batch(self, texts: pa.Array, longest: int = 1 << 20) -> tuple[list, list, list]:
         """Of all texts: those without odd places by their pieces, the others and long ones streamed."""
         long = pc.greater(pc.fill_null(pc.binary_length(texts), 0), longest)
         odd, different, indices, offsets = self.own.cutter.cut(pc.if_else(long, "", texts))
         if len(self.known) > self.most:
-            self.old, self.known = self.known, {}
+            self.known.clear()
         known = self.known
         pieces = different.to_pylist()
         with no_cycles():

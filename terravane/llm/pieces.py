@@ -20,7 +20,7 @@ _WS_LESS_NL = "\\x09\\x0b-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{2
 #: A word of letters up to U+02FF (letters in every Unicode version) and ASCII marks after it: two pre-tokens.
 SIMPLE = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ˁˆ-ˑˠ-ˤˬˮ]+)([!-/:-@\[-`{-~]*)").fullmatch
 #: Rows and bytes of text that are looked at together.
-ROWS, BYTES = 8_000, 24 << 20
+ROWS, BYTES = 4_000, 4 << 20
 
 
 def blocks(batches, text: int):
