@@ -14,6 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -274,17 +275,21 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without those whose language isn't told with ``least`` mean posterior or that have no letter.
 
-    All columns are carried along; the decision is taken row by row, in one pass.
+    Where ``docs`` has a column lang, rows without one get the language that is told; labels that are there stay. All
+    other columns are carried along; the decision is taken row by row, in one pass. An empty table gives an empty result.
     """
     model = fit(docs)
     names = docs.columns
-    at = names.index("text")
+    at, lang = names.index("text"), names.index("lang") if "lang" in names else None
 
     def work(batches):
         predict = _predictor(model) if model else (lambda texts: [(NONE, 0.0)] * len(texts))
         for b in slices(batches):
-            keep = [lang != NONE and score >= least for lang, score in predict(b.column(at).to_pylist())]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            found = predict(b.column(at).to_pylist())
+            if lang is not None and b.column(lang).null_count:
+                told = pc.coalesce(b.column(lang), pa.array([x[0] for x in found], b.column(lang).type))
+                b = b.set_column(lang, b.schema.field(lang), told)
+            yield b.filter(pa.array([name != NONE and score >= least for name, score in found], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 
