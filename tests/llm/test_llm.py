@@ -178,7 +178,8 @@ def test_keep_one_tells_texts_of_one_doc_id_apart(spark):
     assert sorted(map(str, (r[:2] for r in got.collect()))) == sorted(map(str, (rows[0], rows[2], rows[3], rows[4])))
 
 
-def test_near_dedup_finds_similarity_of_four_fifths(spark):
+@pytest.mark.parametrize("most", [4_000, 3])
+def test_near_dedup_finds_similarity_of_four_fifths(spark, most):
     rng = random.Random(8)
     texts = []
     for _ in range(25):
@@ -196,6 +197,8 @@ def test_near_dedup_finds_similarity_of_four_fifths(spark):
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in anchors.similar(spark, docs, most=most).collect()}
+    assert got == dict(enumerate(root))
     assert {r["doc_id"] for r in anchors.keep_one(spark, docs).collect()} == set(root)
     assert len(set(root)) < len({anchors.simhash64(t, 5, 42) for t in texts})
 
@@ -215,6 +218,23 @@ def test_fingerprints_odd_rows(spark, odd, empty):
     assert fingerprint.edited_fingerprints(spark, empty).count() == 0
 
 
+def test_fingerprint_bits_are_majorities(spark):
+    texts = ["a b c d e f g", "A b\tc", "x", " ", None, "é ü é ü é ü é", LONG]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    hashes = [r[0] for r in spark.sql("select xxhash64(cast('a' as string), 'b', 'c', 'd', 'e')").collect()]
+    assert len(hashes) == 1
+    got = {r["k"]: r["fp"] for r in fingerprint.fingerprint_rows(docs, ["k"]).collect()}
+    for k, t in enumerate(texts):
+        words = (t or "").lower().split()
+        if not words:
+            assert got[k] == 0
+            continue
+        shingles = [words[i : i + 5] for i in range(max(1, len(words) - 4))]
+        rows = spark.createDataFrame([tuple([*s, *[None] * (5 - len(s))]) for s in shingles], "a string, b string, c string, d string, e string")
+        h = [r[0] % (1 << 64) for r in rows.selectExpr("xxhash64(a, b, c, d, e)").collect()]
+        assert got[k] % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def test_block_tables_find_all(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(63) for _ in range(30)]
@@ -325,6 +345,39 @@ def test_crf_held_out_accuracy(spark, empty, odd):
     assert crf.fit(empty) is None and crf.identify(odd, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_keep_known_tells_missing_languages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = {r[0]: r[1] for r in docs.select("doc_id", "lang").collect()}
+    some = docs.selectExpr("doc_id", "text", "case when doc_id % 7 <> 0 then lang end as lang", "1 as score").unionByName(spark.createDataFrame([(-7, "12 34", None, 1)], "doc_id long, text string, lang string, score int"))
+    got = {r["doc_id"]: r["lang"] for r in crf.keep_known(some, 0.3).collect()}
+    assert -7 not in got and None not in got.values()
+    assert all(got[i] == want[i] for i in got if i % 7) and sum(got[i] == want[i] for i in got if i % 7 == 0) >= 0.9 * sum(i % 7 == 0 for i in got)
+
+
+def test_crf_gradient_is_numeric():
+    """Gold minus expected counts, which training climbs by, against differences of the log-likelihood."""
+    rng = np.random.default_rng(1)
+    e, m, s = rng.normal(size=(6, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    lengths, gold = np.array([4, 2]), np.array([0, 2, 1, 1, 2, 0])
+
+    def likelihood(e, m, s):
+        told = e[np.arange(6), gold].sum() + s[gold[0]] + s[gold[4]] + sum(m[gold[i], gold[i + 1]] for i in (0, 1, 2, 4))
+        return told - crf.forward_backward(e, lengths, m, s, pairs=True)[3]
+
+    post, pairs, begun, _ = crf.forward_backward(e, lengths, m, s, pairs=True)
+    seen, first = np.zeros((3, 3)), np.bincount(gold[[0, 4]], minlength=3)
+    for i in (0, 1, 2, 4):
+        seen[gold[i], gold[i + 1]] += 1
+    own = (np.eye(3)[gold] - post, seen - pairs, first - begun)
+    for k, (x, g) in enumerate(zip((e, m, s), own)):
+        for at in np.ndindex(x.shape):
+            args = [a.copy() for a in (e, m, s)]
+            args[k][at] += 1e-5
+            up = likelihood(*args)
+            args[k][at] -= 2e-5
+            assert abs((up - likelihood(*args)) / 2e-5 - g[at]) < 1e-5
+
+
 def test_crf_draws_runs_from_whole_texts():
     text = " ".join(f"w{i}" for i in range(5000))
     runs = crf.draw_runs(text, 240)
@@ -390,6 +443,27 @@ def test_rates_of_rare_domains_converge(spark):
         mixing.fit_rates(scored, mixing.TARGETS, 4.0, steps=2)
 
 
+def test_rates_are_least_squares(spark):
+    """Against a plain projected gradient over all rows at once, with targets that no rates meet."""
+    scored = _scored(spark, (0.8, 0.15, 0.05), n=400)
+    rows = scored.orderBy("doc_id").collect()
+    tokens, p = np.array([r["tokens"] for r in rows], float), np.array([r["p"] for r in rows])
+    goal_share, most = np.array([0.2, 0.2, 0.6]), 1.5
+    now = tokens @ p
+    goal = goal_share * min(now.sum(), *(now * most / goal_share))
+    weight = 1 / np.maximum(np.diag((tokens[:, None] * p).T @ p), 1e-9)
+
+    def miss(r):
+        return float(weight @ ((tokens * r) @ p - goal) ** 2)
+
+    r = np.ones(len(rows))
+    for _ in range(20_000):
+        gap = weight * ((tokens * r) @ p - goal)
+        r = np.clip(r - 0.3 * p @ gap, 0, most)
+    got = mixing.rates(scored, mixing.fit_rates(scored, dict(zip(mixing.DOMAINS, goal_share)), most), most).orderBy("doc_id").collect()
+    assert miss(np.array([x["rate"] for x in got])) <= miss(r) + 1e-3 * miss(np.ones(len(rows)))
+
+
 def test_no_labels_thin_nothing(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     assert mixing.keep_mixed(spark, docs, labels.limit(0), corpus_pipeline.TARGETS).count() == docs.count()
