@@ -180,7 +180,7 @@ class Encoder:
     of a piece as ``pieces.Cutter`` cuts them.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 200_000, longest_word: int = 64, window: int = 1 << 16):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 400_000, longest_word: int = 64, window: int = 1 << 16):
         self.v, self.machine, self.at_once = vocabulary, Transducer(vocabulary), window
         self.split = regex.compile(PATTERN).finditer
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocabulary.added, key=len, reverse=True)) + ")").split if vocabulary.added else None
@@ -265,7 +265,7 @@ class Decoder:
 class Digester:
     """(number of ids, SHA-256 of the ids as text, SHA-256 of the text decoded from them) of whole texts."""
 
-    def __init__(self, own: Encoder, most: int = 120_000):
+    def __init__(self, own: Encoder, most: int = 250_000):
         self.own, self.back, self.most = own, Decoder(own.v), most
         self.digits = {i: b"%d," % i for i in own.v.decoded}.__getitem__
         self.known: dict[str, tuple] = {}

@@ -256,7 +256,7 @@ def write_shards(docs: DataFrame, work: Workspace, path: str | None = None, docs
             data = pack(np.concatenate(doc_ids), np.concatenate(counts), np.concatenate(ids), np.concatenate(none))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([n_ids], pa.int64()), pa.array([data], pa.binary())], ["part", "number", "n_ids", "data"])
 
-        for b in blocks(batches, 1):
+        for b in blocks(batches, 1, rows=8_000, size_of_text=24 << 20):
             known, flat = own.encode(b.column(1))
             ends = np.cumsum(known)
             missing = b.column(0).is_null().to_numpy(zero_copy_only=False)

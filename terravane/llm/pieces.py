@@ -19,18 +19,14 @@ _WS = "\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}
 _WS_LESS_NL = "\\x09\\x0b-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: A word of letters up to U+02FF (letters in every Unicode version) and ASCII marks after it: two pre-tokens.
 SIMPLE = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ˁˆ-ˑˠ-ˤˬˮ]+)([!-/:-@\[-`{-~]*)").fullmatch
-#: Rows and bytes of text that are looked at together.
-ROWS, BYTES = 4_000, 4 << 20
-
-
-def blocks(batches, text: int):
-    """Record batches cut so that each has a bounded number of rows and, but for single rows, of bytes of text."""
+def blocks(batches, text: int, rows: int = 6_000, size_of_text: int = 8 << 20):
+    """Record batches cut so that each has at most so many rows and, but for single rows, bytes of text."""
     for b in batches:
         at = 0
         size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         while at < b.num_rows:
-            upto = int(np.searchsorted(size, (size[at - 1] if at else 0) + BYTES, side="right"))
-            n = max(1, min(ROWS, upto - at))
+            upto = int(np.searchsorted(size, (size[at - 1] if at else 0) + size_of_text, side="right"))
+            n = max(1, min(rows, upto - at))
             yield b.slice(at, n)
             at += n
 
