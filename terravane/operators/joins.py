@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,27 +56,46 @@ def splice(df: DataFrame, other: DataFrame, condition) -> DataFrame:
 
 
 def subset_pairs(left: DataFrame, right: DataFrame, id_: str, tokens: str, least: int = 2) -> DataFrame:
-    """Pairs of which one token set holds the other, with ``least`` tokens in common.
+    """(a_id, b_id): pairs of rows of which one's token set holds the other's, with ``least`` tokens in common."""
+    sets = [subset_sets(d, tokens, least) for d in (left, right)]
+    met = subset_classes(*sets)
+    rows = [d.select(F.col(id_).alias(n), F.array_sort(F.array_distinct(tokens)).alias(t)) for d, n, t in ((left, "a_id", "a"), (right, "b_id", "b"))]
+    return met.join(rows[0], "a").join(rows[1], "b").select("a_id", "b_id")
+
+
+def subset_sets(df: DataFrame, tokens: str, least: int = 2) -> DataFrame:
+    """(t): the different token sets of ``least`` tokens or more, in order."""
+    return df.select(F.array_sort(F.array_distinct(tokens)).alias("t")).where(F.size("t") >= least).distinct()
+
+
+def subset_classes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b): pairs of different token sets (t) of which one holds the other; rows of equal sets are one here.
 
-    Candidates meet on their rarest token of the smaller set: a set inside another shares all its tokens,
-    so each set is dealt out once by its rarest and the other side by all of its own.
+    Candidates meet on the rarest token of the smaller set: a set inside another shares all its tokens, so each set is
+    dealt out once by its rarest and the other side by all of its own.
     """
-    sides = [d.select(F.col(id_), F.array_distinct(tokens).alias("t")).where(F.size(tokens) >= least) for d in (left, right)]
-    every = reduce(DataFrame.unionByName, (s.select(F.explode("t").alias("k")) for s in sides)).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    every = left.unionByName(right).select(F.explode("t").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
     def rarest(d):
-        long = d.select(id_, "t", F.explode("t").alias("k")).join(every, "k")
-        return long.groupBy(id_, "t").agg(F.min(F.struct("n", "k"))["k"].alias("k"))
+        return d.select("t", F.explode("t").alias("k")).join(every, "k").groupBy("t").agg(F.min(F.struct("n", "k"))["k"].alias("k"))
 
     out = None
-    for small, large, names in ((sides[0], sides[1], ("a", "b")), (sides[1], sides[0], ("b", "a"))):
-        s = rarest(small).select(F.col(id_).alias(f"{names[0]}_id"), F.col("t").alias("st"), "k")
-        g = large.select(F.col(id_).alias(f"{names[1]}_id"), F.col("t").alias("lt"), F.explode("t").alias("k"))
-        hit = s.join(g, "k").where(F.size(F.array_except("st", "lt")) == 0).select("a_id", "b_id")
+    for small, large, names in ((left, right, ("a", "b")), (right, left, ("b", "a"))):
+        s = rarest(small).select(F.col("t").alias(names[0]), "k")
+        g = large.select(F.col("t").alias(names[1]), F.explode("t").alias("k"))
+        hit = s.join(g, "k").where(F.size(F.array_except(names[0], names[1])) == 0).select("a", "b")
         out = hit if out is None else out.unionByName(hit)
     return out.distinct()
 
 
 def collect_index(df: DataFrame, key: str, values: str) -> DataFrame:
-    """An inverted index: each value of a list column and its sorted keys."""
+    """An inverted index: each value of a list column and its sorted keys.
+
+    A value's keys are a row of the result, so this is for values of few keys, such as areas; ``value_pairs`` has no such bound.
+    """
     return df.select(key, F.explode(values).alias("value")).groupBy("value").agg(F.sort_array(F.collect_set(key)).alias("keys"))
+
+
+def value_pairs(df: DataFrame, key: str, values: str) -> DataFrame:
+    """The same as rows (value, key)."""
+    return df.select(F.explode(values).alias("value"), key).distinct()

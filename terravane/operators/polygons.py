@@ -100,12 +100,21 @@ def line_inside(x1: Column, y1: Column, x2: Column, y2: Column, rings: Column) -
     return inside & ~F.exists(rings, lambda r: F.exists(_sides(r), crosses))
 
 
-def _cells(polygons: DataFrame, cell: float, more: float = 0.0) -> DataFrame:
-    """A row for each grid cell that a polygon's box, ``more`` wider on each side, meets."""
+def _cells(polygons: DataFrame, polygon_id: str, cell: float, more: float = 0.0) -> DataFrame:
+    """(polygon_id, box, cell) for each grid cell that a polygon's box, ``more`` wider on each side, meets; without its rings."""
     border = F.get("rings", F.lit(0))
-    ends = {k: (F.floor((F.array_min(v) - more) / cell), F.floor((F.array_max(v) + more) / cell)) for k, v in (("x", F.transform(border, lambda p: p["x"])), ("y", F.transform(border, lambda p: p["y"])))}
-    out = polygons.where(F.size(border) > 0).withColumn("__x", F.explode(F.sequence(*ends["x"])))
-    return out.withColumn("__y", F.explode(F.sequence(*ends["y"])))
+    ends = {k: (F.array_min(v) - more, F.array_max(v) + more) for k, v in (("x", F.transform(border, lambda p: p["x"])), ("y", F.transform(border, lambda p: p["y"])))}
+    out = polygons.where(F.size(border) > 0).select(polygon_id, *(e.alias(f"__{k}{n}") for k, v in ends.items() for n, e in zip((1, 2), v)))
+    for k in ("x", "y"):
+        out = out.withColumn(f"__{k}", F.explode(F.sequence(F.floor(F.col(f"__{k}1") / cell), F.floor(F.col(f"__{k}2") / cell))))
+    return out
+
+
+def _met(own: DataFrame, polygons: DataFrame, polygon_id: str, cell: float, more: float = 0.0) -> DataFrame:
+    """Points with the polygons, rings included, whose box they lie in: cells and boxes first, rings for what is left."""
+    near = own.join(_cells(polygons, polygon_id, cell, more), ["__x", "__y"])
+    near = near.where(F.col("x").between(F.col("__x1"), F.col("__x2")) & F.col("y").between(F.col("__y1"), F.col("__y2")))
+    return near.drop("__x", "__y", "__x1", "__x2", "__y1", "__y2").join(polygons, polygon_id)
 
 
 def locate(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, cell: float, within: float = 0.0) -> DataFrame:
@@ -117,11 +126,11 @@ def locate(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: st
     """
     own = points.select(point_id, "x", "y").withColumn("__x", F.floor(F.col("x") / cell)).withColumn("__y", F.floor(F.col("y") / cell))
     shapes = polygons.select(polygon_id, "rings")
-    hits = own.join(_cells(shapes, cell), ["__x", "__y"]).where(in_polygon(F.col("x"), F.col("y"), F.col("rings")))
+    hits = _met(own, shapes, polygon_id, cell).where(in_polygon(F.col("x"), F.col("y"), F.col("rings")))
     found = hits.groupBy(point_id).agg(F.min(polygon_id).alias(polygon_id)).withColumn("away", F.lit(0.0))
     if within <= 0:
         return found
-    near = own.join(found.select(point_id), point_id, "left_anti").join(_cells(shapes, cell, within), ["__x", "__y"])
+    near = _met(own.join(found.select(point_id), point_id, "left_anti"), shapes, polygon_id, cell, within)
     near = near.withColumn("away", border_distance(F.col("x"), F.col("y"), F.col("rings"))).where(F.col("away") <= within)
     best = near.groupBy(point_id).agg(F.min(F.struct("away", polygon_id)).alias("b"))
     return found.unionByName(best.select(point_id, f"b.{polygon_id}", "b.away"))

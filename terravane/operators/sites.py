@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import digit_slips
 from .geo import flat_miles
-from .joins import first_wins
+from .shared import Kept
 
 
 def _miles(a: str, b: str) -> Column:
@@ -77,17 +77,18 @@ def mistyped_codes(rows: DataFrame, codes: DataFrame, places: DataFrame, loose:
     listings' code is right. ``swapped``: the code lies over ``swap_gap`` miles off; exactly one swap of two neighbouring digits gives a
     code at the city; no other item lists the name at the code. Then it is that one, or that of the name's listings.
     """
-    own = compared(rows, codes, places)
+    keep = Kept(rows.sparkSession, "typos")  # read several times below
+    own = keep.table(compared(rows, codes, places), "compared")
     conflict = F.col("away") > F.greatest(F.lit(gap), 2 * F.col("zradius"))
     named = F.col("name").isNotNull()
     agreeing = own.where(~conflict & named)
-    elsewhere = own.where(named).groupBy("state", "name", "code").agg(F.count_distinct("item").alias("items")).where("items > 1").select("state", "name", "code")
+    elsewhere = keep.table(own.where(named).groupBy("state", "name", "code").agg(F.count_distinct("item").alias("items")).where("items > 1").select("state", "name", "code"), "elsewhere")
     asked = own.where(named & (F.size(F.split("name", " ")) >= 2) & conflict).join(elsewhere, ["state", "name", "code"], "left_anti")
-    asked = asked.join(agreeing.select("item", "state", "name", "city").distinct(), ["item", "state", "name", "city"], "left_anti")
+    asked = keep.table(asked.join(agreeing.select("item", "state", "name", "city").distinct(), ["item", "state", "name", "city"], "left_anti"), "asked")
     found = listings_near(asked, agreeing, near).where(F.col("n") >= least)
-    found = found.join(_campus(asked, agreeing, near), "id", "left_anti").select("id", F.lit("listed").alias("rule"), F.col("code").alias("fix_code"))
+    found = keep.table(found.join(_campus(asked, agreeing, near), "id", "left_anti").select("id", F.lit("listed").alias("rule"), F.col("code").alias("fix_code")), "listed")
     rest = own.where(F.col("away") > F.greatest(F.lit(swap_gap), 2 * F.col("zradius"))).join(found, "id", "left_anti").join(loose, ["state", "city"], "left_anti")
-    rest = rest.join(elsewhere, ["state", "name", "code"], "left_anti")
+    rest = keep.table(rest.join(elsewhere, ["state", "name", "code"], "left_anti"), "rest")
     swaps = rest.select("id", "state", "city", F.explode(digit_slips(F.col("code"), swaps_only=True)).alias("swap"))
     at = swaps.join(codes.select(F.col("code").alias("swap"), "state", F.col("lat").alias("qlat"), F.col("lon").alias("qlon")), ["swap", "state"])
     at = at.join(places.select("state", "city", "lat", "lon", "radius"), ["state", "city"]).where(flat_miles(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon")) <= F.greatest(F.lit(5.0), 1.5 * F.col("radius")))
@@ -107,7 +108,7 @@ def reviewed(rows: DataFrame, codes: DataFrame, places: DataFrame, loose: DataFr
     not at the code; listed in the city, or named for it, and not at the code; else ambiguous. A row that the item lists again in the city, or
     for which no code in the city is known, is ambiguous instead of city.
     """
-    own = compared(rows, codes, places).withColumn("out", F.greatest(F.lit(0.0), F.col("away") - F.col("nradius")))
+    own = Kept(rows.sparkSession, "review").table(compared(rows, codes, places), "compared").withColumn("out", F.greatest(F.lit(0.0), F.col("away") - F.col("nradius")))
     disagrees = F.col("out") > F.greatest(F.lit(gap), F.col("zradius"))
     fine = own.where(~disagrees)
     asked = own.where(disagrees).join(skip.select("id"), "id", "left_anti")
