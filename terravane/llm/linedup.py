@@ -13,7 +13,9 @@ without their last line. A line lies in a run with an earlier copy exactly if it
 earlier copy: copies of a run have the same tight runs, and from any line of a long enough run a tight one
 starts, or the tight one that ends the run covers the line. A tight run of l lines, 2^k <= l < 2^(k+1), is named
 by its ranks for 2^k lines at its start and 2^k lines before its end. As lines have a word at least,
-doubling ends after log2(min_words) rounds, whatever the corpus.
+doubling ends after log2(min_words) rounds, whatever the corpus: all suffixes with the same l lines, an interval of the suffix
+array with a longest common prefix of l or more, are the rows of one such name. Tight runs that follow each other at one
+distance from their first copies make up the maximal repeated runs, which are what is deleted.
 
 All of it is DataFrame operations on (document, line number, rank) rows; text is read once for line hashes
 and once for the result. Groups of equal lines are counted before they are shuffled, and met in joins by a
@@ -51,6 +53,16 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
 
     th is the text's xxhash64. Documents are ordered by (doc_id, th); rows equal in both are one document.
     """
+    return repeated_runs(spark, docs, min_words, work).select(*KEY, F.explode("at").alias("line")).groupBy(*KEY).agg(F.collect_set("line").alias("gone"))
+
+
+def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, work: Workspace | None = None) -> DataFrame:
+    """Maximal repeated runs: (doc_id, th, seq, lines, at, first), a row for each run of lines and its first copy.
+
+    seq is the run's first line among the document's non-blank ones, lines their number, at their numbers among all
+    lines, first the (doc_id, th, seq) of the copy before it. A run is maximal: it ends where the two differ, or where fewer
+    than ``min_words`` words would be left.
+    """
     work = work or Workspace(spark, "linedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     lines = work.table(_lines(docs), "lines")
@@ -95,8 +107,14 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
     place = F.struct(*KEY, "seq")
     first = every.groupBy("length", "a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("length", "a", "b", "first")
     later = every.join(first, ["length", "a", "b"]).where(~place.eqNullSafe(F.col("first")))
-    gone = later.select(*KEY, F.explode("at").alias("line"))
-    return gone.groupBy(*KEY).agg(F.collect_set("line").alias("gone"))
+    # tight runs that follow each other at one distance from their first copies are parts of one maximal run
+    pair = [*KEY, "first.doc_id", "first.th", F.col("seq") - F.col("first.seq")]
+    up = Window.partitionBy(*pair).orderBy("seq", "length")
+    before = F.max(F.col("seq") + F.col("length")).over(up.rowsBetween(Window.unboundedPreceding, -1))
+    parts = later.withColumn("apart", F.coalesce((F.col("seq") > before).cast("int"), F.lit(1))).withColumn("run", F.sum("apart").over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    pairs = parts.select(*KEY, "seq", "length", "at", "run", F.col("first.doc_id").alias("f_id"), F.col("first.th").alias("f_th"), F.col("first.seq").alias("f_seq"), (F.col("seq") - F.col("first.seq")).alias("apart"))
+    runs = pairs.groupBy(*KEY, "f_id", "f_th", "apart", "run").agg(F.min("seq").alias("seq"), F.max(F.col("seq") + F.col("length")).alias("stop"), F.min("f_seq").alias("f_seq"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    return runs.select(*KEY, "seq", (F.col("stop") - F.col("seq")).alias("lines"), "at", F.struct(F.col("f_id").alias("doc_id"), F.col("f_th").alias("th"), F.col("f_seq").alias("seq")).alias("first"))
 
 
 def free_name(docs: DataFrame, name: str) -> str:

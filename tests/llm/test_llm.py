@@ -256,6 +256,15 @@ def test_line_dedup_odd_rows(spark, odd, empty):
     assert linedup.delete_repeats(spark, odd).count() == len(ODD) and linedup.delete_repeats(spark, empty).count() == 0
 
 
+def test_maximal_runs(spark):
+    line = lambda k: f"line {k} has some eight words in it all"
+    long, short = [line(k) for k in range(14)], [line(k) for k in range(50, 57)]
+    rows = [(1, [*long, "a"]), (2, ["b", *long, "c", *short]), (3, [*short, "d", *long[3:12], "", "e", *long]), (4, ["f", *long[:4]])]
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["seq"], r["lines"], r["first"]["doc_id"], r["first"]["seq"]) for r in linedup.repeated_runs(spark, docs).collect())
+    assert got == [(2, 1, 14, 1, 0), (3, 0, 7, 2, 16), (3, 8, 9, 1, 3), (3, 18, 14, 1, 0)]
+
+
 def test_media_round_trip_and_carving(spark, odd, empty, tmp_path):
     got = {r["doc_id"]: r for r in media.features(Workspace(spark, "t").table(media.store(odd), "m")).collect()}
     for i, t in ODD:
