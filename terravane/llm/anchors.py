@@ -151,8 +151,12 @@ def _cells(work: Workspace, name: str, fps: DataFrame, blocks, keep: tuple[str,
     return rows.join(crowds, "anchor", "left").select(*rest, F.explode(places).alias("p")).select(*rest, "p.cell", "p.home")
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the edges, so that dense groups don't come out as all their pairs."""
+def _forest(u: np.ndarray, v: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spanning forest of the edges of fewest differing bits, so that dense groups don't come out as all their pairs.
+
+    Edges of equal bits are taken in order of their ends. As that order is the same in every cell, cells with the
+    same texts take the same edges, which are one in the end.
+    """
     root: dict[int, int] = {}
 
     def find(x):
@@ -160,14 +164,13 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root[x] = x = root.get(p, p)
         return x
 
-    kept = []
-    for a, b in zip(u.tolist(), v.tolist()):
+    order, kept = np.lexsort((v, u, off)), []
+    for k, a, b in zip(order.tolist(), u[order].tolist(), v[order].tolist()):
         ra, rb = find(a), find(b)
         if ra != rb:
             root[max(ra, rb)] = min(ra, rb)
-            kept.append((a, b))
-    out = np.array(kept, np.int64).reshape(-1, 2)
-    return out[:, 0].copy(), out[:, 1].copy()
+            kept.append(k)
+    return u[kept], v[kept], off[kept]
 
 
 def _spans(first: np.ndarray, end: np.ndarray, most: int):
@@ -180,41 +183,39 @@ def _spans(first: np.ndarray, end: np.ndarray, most: int):
         yield i, first[i] + k - total[i]
 
 
-def _compare(key, home, node, fp, extra, accept, forest: bool, most: int = 1 << 18):
-    """(u, v) among the rows of equal (adjacent) keys: homes with all others that ``accept`` takes, as a spanning forest or all."""
-    if not len(key):
-        return
+def _compare(key, home, node, words, limit: int, most: int = 1 << 18):
+    """(u, v): a spanning forest of the pairs of equal (adjacent) keys, homes with all others, that differ in ``limit`` bits or fewer."""
     order = np.lexsort((-home, key))
-    key, home, node, fp, extra = key[order], home[order], node[order], fp[order], [x[order] for x in extra]
+    key, home, node, words = key[order], home[order], node[order], [w[order] for w in words]
     homes = np.flatnonzero(home)
     end = np.searchsorted(key, key[homes], side="right")
-    us, vs, held, limit = [], [], 0, most
+    held, n, bound = [], 0, most
+
+    def reduced():
+        return _forest(*(np.concatenate(x) for x in zip(*held)))
+
     for i, b in _spans(homes + 1, end, most):
         a = homes[i]
-        ok = (node[a] != node[b]) & accept(fp, extra, a, b)
+        off = np.zeros(len(a), np.int64)
+        for w in words:
+            off += np.bitwise_count(w[a] ^ w[b])
+        ok = (off <= limit) & (node[a] != node[b])
         if ok.any():
             u, v = node[a[ok]], node[b[ok]]
-            us.append(np.minimum(u, v))
-            vs.append(np.maximum(u, v))
-            held += len(u)
-        if held > limit:
-            if not forest:
-                yield np.concatenate(us), np.concatenate(vs)
-                us, vs, held = [], [], 0
-                continue
-            u, v = _forest(np.concatenate(us), np.concatenate(vs))
-            us, vs, held = [u], [v], len(u)
-            limit = max(most, 2 * held)
-    if us:
-        u, v = np.concatenate(us), np.concatenate(vs)
-        yield _forest(u, v) if forest else (u, v)
+            held.append((np.minimum(u, v), np.maximum(u, v), off[ok]))
+            n += len(u)
+        if n > bound:
+            held = [reduced()]
+            n = len(held[0][0])
+            bound = max(most, 2 * n)
+    return reduced()[:2] if held else None
 
 
-def _pairs(work: Workspace, name: str, fps: DataFrame, blocks, accept, forest: bool = True, extra: tuple[str, ...] = (), most: int = CROWD) -> DataFrame:
-    """(u, v) of nodes that meet at an anchor and that ``accept`` takes, u the smaller; fps as of ``replicas``.
+def _pairs(work: Workspace, name: str, fps: DataFrame, blocks, limit: int, extra: tuple[str, ...] = (), most: int = CROWD) -> DataFrame:
+    """(u, v) of nodes that meet at an anchor and differ in at most ``limit`` bits of fp and ``extra``, u the smaller; fps as of ``replicas``.
 
-    A task sees the rows of its cells in order, a batch at a time. With forest only a spanning forest of each
-    cell's pairs comes out: fewer rows than the cell has, and it joins all that its pairs join.
+    A task sees the rows of its cells in order, a batch at a time. Only a spanning forest of each cell's pairs comes
+    out: fewer rows than the cell has, and it joins all that its pairs join.
     """
 
     def run(batches):
@@ -238,9 +239,8 @@ def _pairs(work: Workspace, name: str, fps: DataFrame, blocks, accept, forest: b
         anchor, cell, home, node, *rest = cols
         if len(anchor):
             key = np.cumsum(np.concatenate([[False], (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])]))
-            fp, *more = [c.view(np.uint64) for c in rest]
-            for u, v in _compare(key, home, node, fp, more, accept, forest):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            if (kept := _compare(key, home, node, [c.view(np.uint64) for c in rest], limit)) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(kept[0]), pa.array(kept[1])], ["u", "v"])
 
     rows = _cells(work, name, fps, blocks, extra, most)
     dealt = rows.select("anchor", "cell", "home", "node", "fp", *extra).repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
@@ -250,11 +250,8 @@ def _pairs(work: Workspace, name: str, fps: DataFrame, blocks, accept, forest: b
 def links(fps: DataFrame, most: int = CROWD, work: Workspace | None = None) -> DataFrame:
     """(u, v): spanning forests of all pairs of different fingerprints (fp) that differ in 1 to 4 bits."""
 
-    def accept(fp, extra, a, b):
-        return np.bitwise_count(fp[a] ^ fp[b]) <= THRESHOLD
-
     work = work or Workspace(fps.sparkSession, "links")
-    return _pairs(work, "links", fps.select(F.col("fp").alias("node"), F.array("fp").alias("words")), BLOCKS, accept, most=most)
+    return _pairs(work, "links", fps.select(F.col("fp").alias("node"), F.array("fp").alias("words")), BLOCKS, THRESHOLD, most=most)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
@@ -424,18 +421,6 @@ def _limit(p: float, words: int) -> int:
     return math.ceil(p * n + 3 * math.sqrt(p * (1 - p) * n))
 
 
-def _close(limit: int):
-    """Pairs whose words together differ in at most so many bits."""
-
-    def accept(fp, words, a, b):
-        off = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)
-        for w in words:
-            off += np.bitwise_count(w[a] ^ w[b])
-        return off <= limit
-
-    return accept
-
-
 def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (4, 5), width: int = 5, seed: int = 42, recall: float = 0.98, most: int = 4_000) -> DataFrame:
     """(doc_id, row, component_id) of every row of ``docs`` (doc_id, text, others are ignored); row is xxhash64 of text.
 
@@ -454,7 +439,7 @@ def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (4, 5
     marked = work.table(_marks(docs, n_words, width, seed), "marked")
     different = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("row").alias("row"), F.first("size").alias("size"), F.first("words").alias("words"))
     different = work.table(different.withColumn("w1", F.get("words", F.lit(1))), "different")
-    found = work.table(_pairs(work, "near", different.where("size > 0"), blocks, _close(_limit(p, 2)), True, ("w1",)), "forest")
+    found = work.table(_pairs(work, "near", different.where("size > 0"), blocks, _limit(p, 2), ("w1",)), "forest")
     clusters = connected_components(work, found, "clusters").withColumnRenamed("label", "cluster")
     live = work.table(different.select("node", "row", "words").join(clusters, "node"), "live")
     members = work.table(live.select("cluster", "node", "words").join(_sets(docs, live.select("node", "row"), width, seed), "node"), "members")
