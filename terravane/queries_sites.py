@@ -72,9 +72,9 @@ def _loose(spark) -> DataFrame:
     return spark.createDataFrame([("S1", "C4")], "state string, city string")
 
 
-@query("""with k as (select c_custkey as id, c_custkey * 7 % 400 as i, c_custkey % 5 = 0 as slip from customer), s as (select id, i, (10000 + i)::varchar as own, case when slip then left((10000 + i)::varchar, 3) || substr((10000 + i)::varchar, 5, 1) || substr((10000 + i)::varchar, 4, 1) else (10000 + i)::varchar end as code from k),
+@query("""with k as (select c_custkey as id, c_custkey * 7 % 400 as i, c_custkey < 100 and c_custkey % 3 <> 0 as slip, c_custkey * 7 % 400 % 6 <> 0 as named from customer), s as (select id, i, named, (10000 + i)::varchar as own, case when slip then left((10000 + i)::varchar, 3) || substr((10000 + i)::varchar, 5, 1) || substr((10000 + i)::varchar, 4, 1) else (10000 + i)::varchar end as code from k),
 w as (select *, code <> own as wrong, code::int < 10400 as known from s), n as (select i, count(*) filter (where not wrong) as fine, count(*) filter (where wrong) as slips from w group by 1)
-select id, case when fine >= 2 then 'listed' else 'swapped' end as rule, own as fix_code from w join n using (i) where wrong and known and slips = 1""")
+select id, case when fine >= 2 and named then 'listed' else 'swapped' end as rule, own as fix_code from w join n using (i) where wrong and known and (slips = 1 or not named)""")
 def g16_mistyped(spark: SparkSession, d: str) -> DataFrame:
     """Codes that are typing errors, by listings and by swapped digits, with the code that is right. Towns lie at the codes, far apart."""
     i, k = F.col("id"), F.col("c_custkey") * 7 % 400
@@ -83,7 +83,7 @@ def g16_mistyped(spark: SparkSession, d: str) -> DataFrame:
     towns = spark.range(400).select(_s(i % 3).alias("state"), F.concat(F.lit("K"), i.cast("string")).alias("city"), *at, F.lit(3.0).alias("radius"))
     own = (10000 + k).cast("string")
     slipped = F.concat(F.left(own, F.lit(3)), F.substring(own, 5, 1), F.substring(own, 4, 1))
-    rows = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("item"), F.concat(F.lit("clinic k"), k.cast("string")).alias("name"), _s(k % 3).alias("state"), F.concat(F.lit("K"), k.cast("string")).alias("city"), F.when(F.col("c_custkey") % 5 == 0, slipped).otherwise(own).alias("code"))
+    rows = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("item"), F.when(k % 6 != 0, F.concat(F.lit("clinic k"), k.cast("string"))).alias("name"), _s(k % 3).alias("state"), F.concat(F.lit("K"), k.cast("string")).alias("city"), F.when((F.col("c_custkey") < 100) & (F.col("c_custkey") % 3 != 0), slipped).otherwise(own).alias("code"))
     return sites.mistyped_codes(rows, codes, towns, _loose(spark))
 
 
