@@ -49,8 +49,22 @@ def as_sql(name, d, rows, columns):
     return len(rows)
 
 
-@pytest.mark.parametrize("name", ["a10_distinct_within"])
+@pytest.mark.parametrize("name", ["a10_distinct_within", "a10_distinct_within_whole"])
 def test_rows_of_one_spot_meet_once(spark, crowd, name):
     df = QUERIES[name](spark, crowd)
     rows, most = most_joined(df)
     assert as_sql(name, crowd, rows, df.columns) > 400 and most < 5000  # pairs of keys: over 80,000
+
+
+@pytest.mark.parametrize("many", [0, 3, 32])
+def test_items_at_few_and_many_spots(spark, many):
+    rng = random.Random(8)
+    point = lambda: (rng.choice((-89.5, -40.25, 10.5, 10.75, 11.0, 59.5, 60.0)), rng.choice((-179.75, -179.5, 0.25, 0.5, 1.0, 179.5, 179.9)))
+    places, targets = [(i, *point()) for i in range(60)], [(i, *point()) for i in range(50)]
+    items = [(rng.randrange(50), rng.choice((None, *range(25)))) for _ in range(120)] + [(t, 99) for t in range(50)]
+    p, t, i = (spark.createDataFrame(x, s) for x, s in ((places, "p int, lat double, lon double"), (targets, "t int, lat double, lon double"), (items, "t int, i int")))
+    bands = (20.0, 60.0, 120.0)
+    pairs = geo.radius_join(p, t, 120.0).select("p", "t", "mi").join(i, "t").groupBy("p", "i").agg(F.min("mi").alias("mi"))
+    want = {tuple(r) for r in pairs.groupBy("p").agg(*(F.count_if(F.col("mi") <= b) for b in bands)).collect()}
+    got = geo.distinct_within(p, "p", t, "t", i, "i", 120.0, bands, many=many).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 30
