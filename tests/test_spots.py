@@ -49,7 +49,7 @@ def as_sql(name, d, rows, columns):
     return len(rows)
 
 
-@pytest.mark.parametrize("name", ["a10_distinct_within", "a10_distinct_within_whole", "g21_finder_whole", "g21_finder"])
+@pytest.mark.parametrize("name", ["a10_distinct_within", "a10_distinct_within_whole", "g21_finder_whole", "g21_finder", "j8_radius_join"])
 def test_rows_of_one_spot_meet_once(spark, crowd, name):
     df = QUERIES[name](spark, crowd)
     rows, most = most_joined(df)
