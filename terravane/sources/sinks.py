@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import gzip
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.shared import Kept
+
 
 def csv(df: DataFrame, path: str) -> None:
     """CSV with a header, nulls as empty fields (K1)."""
@@ -32,23 +34,27 @@ def sparse_rows(df: DataFrame, key: str, item: str) -> tuple[DataFrame, DataFram
     """(dictionary (item, code), rows (key, at, n, codes)) of a many-to-many table (K4).
 
     Codes number the items in order, at is where a key's codes begin if all are laid one after another in order of keys.
-    Both running counts go by ranges, so no window sees all rows.
+    Both running counts go by ranges, so no window sees all rows. The tables lie in the shared folder until the driver ends.
     """
-    pairs = df.where(F.col(key).isNotNull() & F.col(item).isNotNull()).select(key, item).distinct()
-    codes = _numbered(pairs.select(item).distinct(), item, F.lit(1)).select(item, F.col("before").cast("int").alias("code"))
-    rows = pairs.join(codes, item).groupBy(key).agg(F.array_sort(F.collect_list("code")).alias("codes"))
-    out = _numbered(rows.withColumn("n", F.size("codes")), key, F.col("n"))
-    return codes, out.select(key, F.col("before").alias("at"), "n", "codes")
+    keep = Kept(df.sparkSession, "sparse")
+    known = df.where(F.col(key).isNotNull() & F.col(item).isNotNull()).select(key, item)
+    codes = _numbered(keep, known.select(item).distinct(), item, F.lit(1)).select(item, F.col("before").cast("int").alias("code"))
+    rows = keep.table(known.distinct().join(codes, item).groupBy(key).agg(F.array_sort(F.collect_list("code")).alias("codes")).withColumn("n", F.size("codes")), "rows")
+    at = _numbered(keep, rows.select(key, "n"), key, F.col("n")).select(key, "before")
+    return codes, rows.join(at, key).select(key, F.col("before").alias("at"), "n", "codes")
 
 
-def _numbered(df: DataFrame, key: str, weight: Column, spread: int = 32) -> DataFrame:
-    """``df`` with before: the weight of all rows of smaller key, keys being different."""
-    from pyspark.sql import Window
+def _numbered(keep: Kept, df: DataFrame, key: str, weight: Column, spread: int = 32) -> DataFrame:
+    """``df`` with before: the weight of all rows of smaller key, keys being different.
 
+    Rows dealt out by ranges are written once and read for both sums: bounds of ranges come from a sample, which is another
+    one each time that a large table is dealt out.
+    """
     dealt = df.withColumn("__w", weight.cast("long")).repartitionByRange(spread, key).withColumn("__part", F.spark_partition_id())
+    dealt = keep.table(dealt, f"dealt_{key}")
     up = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     own = dealt.withColumn("__own", F.coalesce(F.sum("__w").over(up(Window.partitionBy("__part").orderBy(key))), F.lit(0)))
-    sums = own.groupBy("__part").agg(F.sum("__w").alias("__all"))  # ``spread`` rows at most
+    sums = dealt.groupBy("__part").agg(F.sum("__w").alias("__all"))  # ``spread`` rows at most
     before = sums.select("__part", F.coalesce(F.sum("__all").over(up(Window.orderBy("__part"))), F.lit(0)).alias("__before"))
     return own.join(before, "__part").withColumn("before", F.col("__own") + F.col("__before")).drop("__part", "__w", "__own", "__before")
 
