@@ -70,6 +70,24 @@ def test_items_at_few_and_many_spots(spark, many):
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 30
 
 
+@pytest.mark.parametrize("united, bits", [(geo.UNITED, geo.BITS), (300, 1 << 11)])
+def test_sets_of_many_spots_are_united(spark, monkeypatch, united, bits):
+    monkeypatch.setattr(geo, "UNITED", united)
+    monkeypatch.setattr(geo, "BITS", bits)
+    rng = random.Random(6)
+    grid = [(lat + 0.0, lon + 0.0) for lat in range(-7, 8) for lon in (*range(-180, -173), *range(172, 180))]
+    places = [(i, *at) for i, at in enumerate(grid)] + [(len(grid), 89.0, 0.0), (len(grid) + 1, None, 0.0)]
+    few = rng.sample(range(len(grid)), 50)
+    items = [(t, i) for i in (None, *range(30)) for t in rng.sample(range(len(grid)), 60)] + [(t, i) for i in range(100, 105) for t in few] + [(t, 200) for t in few[:3]]
+    p, t, i = (spark.createDataFrame(x, s) for x, s in ((places, "p int, lat double, lon double"), (places, "t int, lat double, lon double"), (items, "t int, i int")))
+    bands = (60.0, 120.0)
+    pairs = geo.radius_join(p, t, 120.0).select("p", "t", "mi").join(i, "t").groupBy("p", "i").agg(F.min("mi").alias("mi"))
+    want = {tuple(r) for r in pairs.groupBy("p").agg(*(F.count_if(F.col("mi") <= b) for b in bands)).collect()}
+    got, most = most_joined(geo.distinct_within(p, "p", t, "t", i, "i", 120.0, bands))
+    assert {tuple(r) for r in got} == want and len(got) == len(want) == len(grid)
+    assert most < 5000  # a row for each item, spot and place: over 15,000
+
+
 def test_gains_that_differ_by_rounding_are_ties(spark, crowd):
     covers = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3)], "candidate string, unit int")
     weights = spark.createDataFrame([(1, 5.00001), (2, 5.0), (3, 4.0)], "unit int, w double")
