@@ -8,9 +8,11 @@ the other, and comparing homes with replicas per anchor finds the pair.
 
 ``links`` finds all pairs that differ in at most 4 of 64 bits, exactly: of three blocks (21, 21 and 22 bits) one differs
 in at most ``floor(4 / 3)`` = 1 bit. ``similar`` finds texts whose shingle sets are similar to a share: such sets'
-SimHash bits differ with a known chance, so it takes longer fingerprints, with blocks of about as many bits as the
-number of texts has (an anchor then has about as many rows at every size) and as many blocks as the wanted
-recall needs; candidates are confirmed by the exact similarity of both sets.
+SimHash bits differ with a known chance, so it takes longer fingerprints. There a text is at its home of each block only,
+without replicas: texts whose blocks have the same home meet. The anchors of a block are about as many as the texts
+(an anchor then has about as many rows at every size), the blocks as many as the wanted recall needs: for 0.999 a
+text has 43 rows at 236,000 texts and 121 at 15 million, where replicas took 103 and 445 for 0.98. Candidates are
+confirmed by the exact similarity of both sets.
 
 Anchors of many rows are split into cells of homes and replicas, so that no task holds or compares them all.
 """
@@ -35,6 +37,8 @@ HAMMING = 15
 RADIUS = 1
 #: Rows of one anchor above which it is split.
 CROWD = 20_000
+#: Rows of a sieve at most, of 64 bits each.
+SIEVE = 1 << 18
 
 
 def _words(text: str | None, width: int, seed: int) -> np.ndarray:
@@ -132,12 +136,12 @@ def _anchor(block, mark):
     return lambda e, i: F.shiftleft(block.bitwiseXOR(e) + mark, 1).bitwiseOR(F.when(i == 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
 
 
-def _cells(work: Workspace, name: str, fps: DataFrame, blocks, keep: tuple[str, ...], most: int) -> DataFrame:
+def _cells(work: Workspace, name: str, fps: DataFrame, blocks, keep: tuple[str, ...], most: int, only_homes: bool) -> DataFrame:
     """``replicas`` with cell: anchors of over ``most`` homes are cut into c x c cells of homes by replicas.
 
     A home goes to the c cells of its row, a replica to the c of its column; homes are replicas too.
     """
-    rows = replicas(fps, blocks, keep)
+    rows = replicas(fps, blocks, keep, only_homes)
     crowds = replicas(fps, blocks, homes=True).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
     crowds = work.table(crowds.select("anchor", F.ceil(F.col("n") / most).cast("int").alias("c")), f"{name}-crowds")
     if not crowds.head(1):
@@ -211,7 +215,7 @@ def _compare(key, home, node, words, limit: int, most: int = 1 << 18):
     return reduced()[:2] if held else None
 
 
-def _pairs(work: Workspace, name: str, fps: DataFrame, blocks, limit: int, extra: tuple[str, ...] = (), most: int = CROWD) -> DataFrame:
+def _pairs(work: Workspace, name: str, fps: DataFrame, blocks, limit: int, extra: tuple[str, ...] = (), most: int = CROWD, only_homes: bool = False) -> DataFrame:
     """(u, v) of nodes that meet at an anchor and differ in at most ``limit`` bits of fp and ``extra``, u the smaller; fps as of ``replicas``.
 
     A task sees the rows of its cells in order, a batch at a time. Only a spanning forest of each cell's pairs comes
@@ -242,7 +246,7 @@ def _pairs(work: Workspace, name: str, fps: DataFrame, blocks, limit: int, extra
             if (kept := _compare(key, home, node, [c.view(np.uint64) for c in rest], limit)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(kept[0]), pa.array(kept[1])], ["u", "v"])
 
-    rows = _cells(work, name, fps, blocks, extra, most)
+    rows = _cells(work, name, fps, blocks, extra, most, only_homes)
     dealt = rows.select("anchor", "cell", "home", "node", "fp", *extra).repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
@@ -279,11 +283,17 @@ def chance(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def layout(n: int, similarity: float, recall: float = 0.98) -> list[tuple[int, int, int]]:
-    """Blocks of a long fingerprint by which, of two sets of that similarity among n, one block differs in at most 1 bit with the chance ``recall``."""
-    bits = min(32, max(HAMMING + 1, math.ceil(math.log2(max(2, n))) - 2))
+def layout(n: int, similarity: float, recall: float = 0.999) -> list[tuple[int, int, int]]:
+    """Blocks of a long fingerprint by which two sets of that similarity among n have the same home in one with the chance ``recall``.
+
+    A block has 16 words a home on its first 15 bits, so n texts have 64 to 128 rows an anchor; less below 2^18 texts.
+    Two words have the same home where they are equal, and else where their difference is that of 2 of the 16 errors:
+    for each difference of 1 or 2 of the 15 bits, 2 of 16 words have such errors. Other bits must be equal.
+    """
+    bits = min(32, max(HAMMING, math.ceil(math.log2(max(2, n))) - 3))
     p = chance(similarity)
-    one = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    q = 1 - p
+    one = (q**HAMMING + (HAMMING * p * q ** (HAMMING - 1) + math.comb(HAMMING, 2) * p**2 * q ** (HAMMING - 2)) / 8) * q ** (bits - HAMMING)
     number = math.ceil(math.log(1 - recall) / math.log(1 - one))
     per_word = 64 // bits
     return [(k // per_word, k % per_word * bits, bits) for k in range(number)]
@@ -324,6 +334,18 @@ def _marks(docs: DataFrame, words: int, width: int, seed: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInArrow(work, "doc_id long, row long, node long, size long, words array<long>")
 
 
+def _sieve(rows: DataFrame) -> DataFrame:
+    """(word, bits): a bit for each row (a hash) of ``rows``, in at most ``SIEVE`` words at every size."""
+    word, bit = F.pmod("row", F.lit(SIEVE)).alias("word"), F.expr("bit_or(shiftleft(1L, cast(shiftright(row, 32) & 63 as int)))")
+    return rows.groupBy(word).agg(bit.alias("bits"))
+
+
+def _sifted(df: DataFrame, sieve: DataFrame) -> DataFrame:
+    """``df`` with passes: false only where a sieve's rows surely don't have its row, so that texts needn't be dealt out to tell."""
+    found = df.join(F.broadcast(sieve), F.pmod("row", F.lit(SIEVE)) == F.col("word"), "left")
+    return found.select(*df.columns, F.expr("coalesce(shiftright(bits, cast(shiftright(row, 32) & 63 as int)) & 1 = 1, false)").alias("passes"))
+
+
 def _sets(docs: DataFrame, rows: DataFrame, width: int, seed: int) -> DataFrame:
     """(node, own): the sets of the nodes of ``rows`` (node, row), row a hash of a text that has the set."""
 
@@ -333,7 +355,7 @@ def _sets(docs: DataFrame, rows: DataFrame, width: int, seed: int) -> DataFrame:
             own = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(_digests(sets)), own], ["node", "own"])
 
-    texts = docs.select("text", F.xxhash64("text").alias("row")).join(rows.select("row"), "row", "left_semi")
+    texts = _sifted(docs.select("text", F.xxhash64("text").alias("row")), _sieve(rows)).where("passes").select("text", "row").join(rows.select("row"), "row", "left_semi")
     return texts.groupBy("row").agg(F.first("text").alias("text")).select("text").mapInArrow(sets_of, "node long, own array<long>").dropDuplicates(["node"])
 
 
@@ -416,17 +438,17 @@ def _linked(work: Workspace, members: DataFrame, share: tuple[int, int], limit:
 
 
 def _limit(p: float, words: int) -> int:
-    """Differing bits of so many words, three deviations above the mean for bits that differ with chance p."""
+    """Differing bits of so many words, four deviations above the mean for bits that differ with chance p."""
     n = 64 * words
-    return math.ceil(p * n + 3 * math.sqrt(p * (1 - p) * n))
+    return math.ceil(p * n + 4 * math.sqrt(p * (1 - p) * n))
 
 
-def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (4, 5), width: int = 5, seed: int = 42, recall: float = 0.98, most: int = 4_000) -> DataFrame:
+def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (4, 5), width: int = 5, seed: int = 42, recall: float = 0.999, most: int = 4_000) -> DataFrame:
     """(doc_id, row, component_id) of every row of ``docs`` (doc_id, text, others are ignored); row is xxhash64 of text.
 
     Rows link where the Jaccard similarity of their shingle sets is share[0] / share[1] or more; a link of just
-    that similarity is found with the chance ``recall`` at least, closer ones with a higher one, equal sets always, and
-    no link is wrong. component_id is the smallest doc_id that links reach, null where there is none. Texts without a
+    that similarity meets with the chance ``recall`` and is told from chance meetings with one of about 0.9998 (``_limit``);
+    closer ones are found with a higher one, equal sets always, and no link is wrong. component_id is the smallest doc_id that links reach, null where there is none. Texts without a
     word are equal to each other. An empty table gives an empty result.
 
     The spanning forests of candidates at each anchor join texts to clusters, outside of which there are no
@@ -439,7 +461,7 @@ def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (4, 5
     marked = work.table(_marks(docs, n_words, width, seed), "marked")
     different = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("row").alias("row"), F.first("size").alias("size"), F.first("words").alias("words"))
     different = work.table(different.withColumn("w1", F.get("words", F.lit(1))), "different")
-    found = work.table(_pairs(work, "near", different.where("size > 0"), blocks, _limit(p, 2), ("w1",)), "forest")
+    found = work.table(_pairs(work, "near", different.where("size > 0"), blocks, _limit(p, 2), ("w1",), only_homes=True), "forest")
     clusters = connected_components(work, found, "clusters").withColumnRenamed("label", "cluster")
     live = work.table(different.select("node", "row", "words").join(clusters, "node"), "live")
     members = work.table(live.select("cluster", "node", "words").join(_sets(docs, live.select("node", "row"), width, seed), "node"), "members")
@@ -458,9 +480,12 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Rows with null doc_id stay. Columns and other rows are as they came. Rows are told apart by doc_id and text, so
     of rows of one doc_id those go whose own text has a smaller doc_id in its group; equal rows share their fate.
     """
-    gone = similar(spark, docs).where("component_id < doc_id").select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct()
+    gone = similar(spark, docs).where("component_id < doc_id").select(F.col("doc_id").alias("gone_id"), "row").distinct()
+    gone = Workspace(spark, "keep-one").table(gone, "gone")
     own = docs.select(F.struct("*").alias("own"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row"))
-    return own.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left_anti").select("own.*")
+    own = _sifted(own, _sieve(gone))
+    checked = own.where("passes").join(gone.withColumnRenamed("row", "gone_row"), (F.col("id") == F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left_anti")
+    return own.where("not passes").unionAll(checked).select("own.*")
 
 
 def op3_simhash_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,6 +203,49 @@ def test_near_dedup_finds_similarity_of_four_fifths(spark, most):
     assert len(set(root)) < len({anchors.simhash64(t, 5, 42) for t in texts})
 
 
+def test_near_dedup_rows_a_text(spark, monkeypatch):
+    made, replicas = [], anchors.replicas
+    monkeypatch.setattr(anchors, "replicas", lambda *a, **b: (made.append(replicas(*a, **b)), made[-1])[1])
+    texts = [" ".join(f"w{i * 50 + j}" for j in range(50)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert anchors.similar(spark, docs).where("component_id = doc_id").count() == 40
+    assert max(df.count() for df in made) <= 45 * 40
+    assert len(anchors.layout(15_000_000, 0.8)) <= 125
+
+
+def test_blocks_meet_with_the_calculated_chance(spark):
+    rng = np.random.default_rng(3)
+    n, blocks = 2000, anchors.layout(1 << 20, 0.8, 0.9)
+    words = blocks[-1][0] + 1
+    flips = np.packbits(rng.random((n, 64 * words)) < anchors.chance(0.8), axis=1).view(np.int64)
+    one = rng.integers(-(2**63), 2**63 - 1, (n, words))
+    fps = spark.createDataFrame([(i * 2 + k, w) for k, x in enumerate((one, one ^ flips)) for i, w in enumerate(x.tolist())], "node long, words array<long>")
+    met = anchors.replicas(fps, blocks, homes=True).selectExpr("anchor", "node div 2 as pair").groupBy("anchor", "pair").count().where("count = 2").select("pair").distinct().count()
+    assert 0.88 <= met / n <= 0.93
+
+
+def test_sieve_lets_all_its_rows_pass(spark):
+    own = [0, 1, -1, (1 << 63) - 1, -(1 << 63), 1 << 40, -(1 << 40)] + list(range(5, 10**12, 10**10))
+    rest = [x + 7 for x in own if x < 1 << 62]
+    keys = spark.createDataFrame([(x,) for x in own], "row long")
+    for some, least, most in ((keys, len(own), len(own) + 3), (keys.limit(0), 0, 0)):
+        got = anchors._sifted(spark.createDataFrame([(x, "t") for x in own + rest], "row long, text string"), anchors._sieve(some)).where("passes").collect()
+        assert least <= len(got) <= most and (not least or set(own) <= {r["row"] for r in got})
+        assert got == [] or got[0].asDict().keys() == {"row", "text", "passes"}
+
+
+def test_keep_one_deals_out_no_text_that_stays(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 37 * 50 + j}" for j in range(50))) for i in range(40)] + [(None, "a b"), (None, None), (50, None), (51, "")], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = anchors.keep_one(spark, docs)
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [*((False, i) for i in range(37)), (False, 50), (True, 0), (True, 0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftAnti" in plan and plan.count("strategy=broadcast") == 2
+
+
 def test_fingerprints_odd_rows(spark, odd, empty):
     rows = [(i, t) for i, t in ODD if i and i != 4]
     got = {r["doc_id"]: r for r in fingerprint.edited_fingerprints(spark, odd.where("doc_id <> 4"), docs_a_bucket=2).collect()}
