@@ -121,6 +121,8 @@ def replicas(fps: DataFrame, blocks=BLOCKS, keep: tuple[str, ...] = (), homes: b
     fps: (node, words array<long>, keep); fp is the first word. home is 1 at one anchor of each block; with homes
     only these come out.
     """
+    if homes and len({b for _, _, b in blocks}) == 1:
+        return _homes(fps, blocks, keep)
     tables = {bits: _patterns(bits, RADIUS + 1) for bits in {b for _, _, b in blocks}}
     parts = []
     for k, (word, low, bits) in enumerate(blocks):
@@ -131,6 +133,18 @@ def replicas(fps: DataFrame, blocks=BLOCKS, keep: tuple[str, ...] = (), homes: b
     return out.select(F.shiftright("x", 1).alias("anchor"), F.col("x").bitwiseAND(F.lit(1)).cast("int").alias("home"), "node", "fp", *keep)
 
 
+def _homes(fps: DataFrame, blocks, keep: tuple[str, ...]) -> DataFrame:
+    """Homes of ``replicas`` for blocks of equal length, a row for each block before anything is computed: many blocks in one row make code that the JVM doesn't compile."""
+    bits = blocks[0][2]
+    words, lows = (F.array(*(F.lit(b[i]) for b in blocks)) for i in (0, 1))
+    errors = F.array(*(F.lit(own[0]).cast("long") for own in _patterns(bits, RADIUS)))
+    own = fps.select("node", "words", *keep, F.explode(F.array(*(F.lit(k) for k in range(len(blocks))))).alias("block_no"))
+    block = F.call_function("shiftrightunsigned", F.get("words", F.get(words, "block_no")), F.get(lows, "block_no")).bitwiseAND(F.lit((1 << bits) - 1))
+    own = own.select("node", F.get("words", F.lit(0)).alias("fp"), *keep, "block_no", block.alias("block"))
+    anchor = F.col("block").bitwiseXOR(F.get(errors, _syndrome(F.col("block")))) + F.shiftleft(F.col("block_no").cast("long"), 40)
+    return own.select(anchor.alias("anchor"), F.lit(1).alias("home"), "node", "fp", *keep)
+
+
 def _anchor(block, mark):
     """An error pattern of a block, and whether it is the first (the home's), to the number of its anchor."""
     return lambda e, i: F.shiftleft(block.bitwiseXOR(e) + mark, 1).bitwiseOR(F.when(i == 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
